@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import language, minhash, quality_rules
+from weftline.llm import decontaminate, language, line_dedup, minhash, packing, quality_rules
 from weftline.llm.common import documents
 
 
@@ -14,6 +15,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, removed lines, and length and hash of the text that is left."""
+    done = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(documents(spark, sf_dir)))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -23,8 +38,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_language_id": op4_language_id,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
