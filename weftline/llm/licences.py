@@ -59,7 +59,7 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """A row for each document and licence that reaches the threshold: doc_id, licence, dice (best), n_passages."""
+    """A row for each document and licence that is the best one of a passage and reaches the threshold: doc_id, licence, dice (best), n_passages."""
     tune(docs.sparkSession)
     known = sorted(((bigrams(t), name) for name, t in templates or TEMPLATES), key=lambda x: x[0].total())
     sizes = [g.total() for g, _ in known]
@@ -78,7 +78,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text:
                     for g, name in known[max(low, bisect_left(sizes, a.total() / high - 1e-9)) : bisect_right(sizes, a.total() * high + 1e-9)]:
                         if (d := dice(a, g)) >= least and d > best.get(name, 0):
                             best[name] = d
-                seen[passage] = tuple(best.items())
+                seen[passage] = tuple(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:1])  # a passage states one licence
             return seen[passage]
 
         longest = sizes[-1] * high + 1 if sizes else 0

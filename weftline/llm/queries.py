@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, language, line_dedup, minhash, packing, quality_rules
+from weftline.llm import cotraining, decontaminate, language, language_model, licences, line_dedup, minhash, packing, quality_rules
 from weftline.llm.common import documents
 
 
@@ -37,12 +37,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_masked_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_cotraining_quality": op3_cotraining_quality,
     "op4_language_id": op4_language_id,
+    "op5_masked_lm_score": op5_masked_lm_score,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_licence_scan": op10_licence_scan,
 }
 ORACLES: dict[str, str] = {}
