@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import cotraining, decontaminate, language, language_model, licences, line_dedup, minhash, packing, quality_rules
+from weftline.llm import cotraining, decontaminate, language, language_model, licences, line_dedup, minhash, packing, quality_rules, suffix_dedup
 from weftline.llm.common import documents
 
 
@@ -49,6 +49,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_masked_lm_score": op5_masked_lm_score,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_licence_scan": op10_licence_scan,
 }
