@@ -71,11 +71,10 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.9) -> tuple[float, list[tuple[float, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], m: int, rounds: int = 50, prior: float = 0.9) -> tuple[float, list[tuple[float, float]]]:
     """(share of good documents, for each rule P(vote good | good, votes) and P(vote bad | bad, votes)), by expectation-maximisation.
 
     The counts are smoothed by one vote at the starting accuracy, 0.8, and accuracies stay in [0.55, 0.99], so that a rule can't turn round."""
-    m = len(patterns[0][0]) if patterns else 0
     acc = [(0.8, 0.8)] * m
     for _ in range(rounds):
         good = total = 0.0
@@ -106,7 +105,7 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     voted = stage(counts(docs, text, doc_id).select("*", *(v.alias(f"vote_{k}") for k, v in votes().items())), "votes")
     columns = [f"vote_{k}" for k in votes()]
     patterns = [(tuple(r[c] for c in columns), r["n"]) for r in voted.groupBy(*columns).agg(F.count("*").alias("n")).collect()]
-    prior, acc = fit(sorted(patterns))
+    prior, acc = fit(sorted(patterns), len(columns))
     odds = F.lit(log(prior / (1 - prior)))
     for c, (g, b) in zip(columns, acc, strict=True):
         odds = odds + F.when(F.col(c) == 1, log(g / (1 - b))).when(F.col(c) == 0, log((1 - g) / b)).otherwise(0.0)
