@@ -116,11 +116,11 @@ ORACLES: dict[str, str] = {
     "goose_tag_pivot": _p(" SELECT client, server, CAST(sum(octets) AS BIGINT) AS bytes, count(DISTINCT k % 7) AS n_states, count(DISTINCT substr(md5(event_type || '|' || cot), 1, 8)) AS n_tags FROM p GROUP BY client, server"),
     "sp_pairs": _p(_deltas() + " SELECT seq, pair, src = first_value(src) OVER (PARTITION BY pair ORDER BY seq) AS canonical FROM d"),
     "sp_interarrival": _p(_deltas() + " SELECT seq, direction, rank, round(delta, 6) AS delta FROM i"),
-    "sp_candidates": _p(_deltas() + _CANDIDATES + " SELECT direction, round(q25, 6) AS q25, round(q50, 6) AS q50, round(mean, 6) AS mean, round(q75, 6) AS q75 FROM q"),
+    "sp_candidates": _p(_deltas() + _CANDIDATES + " SELECT direction, round(q25 + 1e-7, 6) AS q25, round(q50 + 1e-7, 6) AS q50, round(mean + 1e-7, 6) AS mean, round(q75 + 1e-7, 6) AS q75 FROM q"),
     "sp_window_counts": _p(_deltas() + _placed() + _counts() + " SELECT * FROM c"),
     "sp_window_counts_event_time": _p(_deltas() + _placed(event_time=True) + _counts() + " SELECT * FROM c"),
-    "sp_candidate_stats": _p(_deltas() + _CANDIDATES + _placed() + _STATS + " SELECT direction, ord, round(candidate, 6) AS candidate, round(mean_range1, 6) AS mean_range1, round(std_range1, 6) AS std_range1, round(mean_range2, 6) AS mean_range2, round(std_range2, 6) AS std_range2 FROM z"),
-    "sp_split_point": _p(_deltas() + _CANDIDATES + _placed() + _STATS + ", y AS (SELECT direction, ord, candidate, 0 AS r, mean_range1 AS m, std_range1 AS sd FROM z UNION ALL SELECT direction, ord, candidate, 1, mean_range2, std_range2 FROM z), o AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY sd, ord, r) AS rn FROM y WHERE m - 3 * sd > 0) SELECT direction, round(coalesce(candidate, 0e0), 6) AS split FROM (SELECT DISTINCT direction FROM z) LEFT JOIN (SELECT * FROM o WHERE rn = 1) USING (direction)"),
+    "sp_candidate_stats": _p(_deltas() + _CANDIDATES + _placed() + _STATS + " SELECT direction, ord, round(candidate + 1e-7, 6) AS candidate, round(mean_range1, 6) AS mean_range1, round(std_range1, 6) AS std_range1, round(mean_range2, 6) AS mean_range2, round(std_range2, 6) AS std_range2 FROM z"),
+    "sp_split_point": _p(_deltas() + _CANDIDATES + _placed() + _STATS + ", y AS (SELECT direction, ord, candidate, 0 AS r, mean_range1 AS m, std_range1 AS sd FROM z UNION ALL SELECT direction, ord, candidate, 1, mean_range2, std_range2 FROM z), o AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY sd, ord, r) AS rn FROM y WHERE m - 3 * sd > 0) SELECT direction, round(coalesce(candidate, 0e0) + 1e-7, 6) AS split FROM (SELECT DISTINCT direction FROM z) LEFT JOIN (SELECT * FROM o WHERE rn = 1) USING (direction)"),
     "sp_profile": _p(_deltas("WHERE train") + _placed() + _counts() + _profile("", "3") + f" SELECT direction, {_BANDS}, status FROM r"),
     "sp_outliers": _p(_deltas("WHERE train", "1") + _placed("1") + _counts("1") + _profile("1", "1") + _deltas() + _placed() + _counts() + ", l AS ("
         + " UNION ALL ".join(f"SELECT direction, '{c}' AS series, n, CAST({c} NOT BETWEEN {c}_lo AND {c}_hi AS INT) AS o FROM c JOIN r USING (direction)" for c in ("total", "range1", "range2")) + "), h AS (SELECT *, lead(o, 1) OVER x AS a, lead(o, 2) OVER x AS b2 FROM l WINDOW x AS (PARTITION BY direction, series ORDER BY n)) SELECT direction, series, n FROM h WHERE b2 IS NOT NULL AND o + a + b2 >= 2"),
