@@ -1,7 +1,7 @@
 """Mixture-controlled packing (operator 7): deficit round-robin over source queues fills windows of `width` tokens.
 
-Documents are tokenised once and staged as 16-bit ids. Each source is a queue in (bucket, doc_id) order; a document's
-place in its queue comes from two-level prefix sums. The queues are cut into blocks of `windows` windows by closed
+Documents are tokenised once and staged as 16-bit ids. Each source is a queue in the order in which tasks read
+its documents; a document's place in it comes from two-level prefix sums. The queues are cut into blocks of `windows` windows by closed
 form; inside a block a deficit round-robin gives every source its quota of each window and carries what is left to the
 next one. Quotas are the sources' shares of all tokens, so all queues end together and only the very last window is
 padded. No queue is ever gathered in one task.
@@ -12,19 +12,22 @@ repeated rows are packed as often as they come; an empty table gives an empty re
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import stage, tune
 
 WIDTH, END = 2048, 1
-#: Windows of a block, and queued documents of a bucket (rows that one task puts in order at a time).
-WINDOWS, BUCKET = 256, 10_000
+#: Windows of a block.
+WINDOWS = 256
 #: Queues; more sources than this share queues by hash.
 QUEUES = 1024
 
@@ -35,23 +38,71 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenised(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", source: str = "source", end: int = END) -> DataFrame:
-    """(doc_id, queue, n, ids): the ids, with the end token, as little-endian 16-bit numbers."""
+#: White space on which regular expression engines differ, and control characters: such texts go to the tokenizers library.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Text to ids as the tokenizers library gives them.
+
+    A byte-level BPE vocabulary whose ids are its merge ranks is read into tiktoken, which gives the same ids several
+    times faster; texts that hold a special token or odd white space, and other kinds of vocabulary, are left to tokenizers."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    spec = json.loads(plain.to_str())
+    if plain.get_vocab_size() > 1 << 16:
+        raise ValueError("ids of this vocabulary need more than 16 bits")
+    slow = lambda t: np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u2")
+    pre = spec.get("pre_tokenizer") or {}
+    special = [x["content"] for x in spec.get("added_tokens", [])]
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return slow
+    # Byte-level vocabularies write each byte as a printable character: printable ones as themselves, others from U+0100 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(shown)))}
+    ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
+    merged = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+    if any(ranks.get(bytes(byte[c] for c in m.replace(" ", "", 1))) != 256 + i for i, m in enumerate(merged)):
+        return slow
+    # Fixed value: the word pattern of byte-level pre-tokenisation.
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(t: str) -> np.ndarray:
+        if _ODD.search(t) or any(x in t for x in special):
+            return slow(t)
+        return fast.encode_to_numpy(t, disallowed_special=()).astype("<u2")
+
+    return encode
+
+
+def tokenised(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", source: str = "source", end: int = END, queues: int = QUEUES) -> DataFrame:
+    """(doc_id, queue, part, within, n, ids): the ids, with the end token, as little-endian 16-bit numbers; within is the
+    number of tokens that the same queue has before in the same part, a part being what one task reads."""
     tune(docs.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        if t.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary need more than 16 bits")
+        encode, part = encoder(path), TaskContext.get().partitionId()
+        so_far: dict[int, int] = {}
+        last = np.array([end], dtype="<u2").tobytes()
         for batch in batches:
-            found = [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], dtype="<u2") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "queue", "n", "ids"])
-
-    queue = F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(1 << 40)).cast("long")
+            found = [encode(x).tobytes() + last if x else last for x in batch.column(2).to_pylist()]
+            n, within = [len(x) // 2 for x in found], []
+            for q, k in zip(batch.column(1).to_pylist(), n, strict=True):
+                within.append(so_far.get(q, 0))
+                so_far[q] = within[-1] + k
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int64()), pa.array(within, pa.int64()), pa.array(n, pa.int64()), pa.array(found, pa.binary())],
+                names=["doc_id", "queue", "part", "within", "n", "ids"],
+            )
+
+    named = docs.select(F.col(source).cast("string").alias("source"))
+    few = named.agg(F.approx_count_distinct(F.coalesce("source", F.lit("")))).first()[0] <= queues // 2
+    queue = F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(1 << 40 if few else queues)).cast("long")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(over, "doc_id long, queue long, n long, ids binary")
+    return rows.mapInArrow(over, "doc_id long, queue long, part long, within long, n long, ids binary")
 
 
 def used(totals: np.ndarray, tokens: np.ndarray | int) -> np.ndarray:
@@ -99,11 +150,7 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, windows:
     """A row for each piece: doc_id, start, length, ids (16-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     tokens = stage(tokenised(docs, path or tokenizer_path()), "tokens")
-    n_rows, n_queues = tokens.agg(F.count("*"), F.approx_count_distinct("queue")).first()
-    queue = F.col("queue") if n_queues <= QUEUES // 2 else F.col("queue") % QUEUES
-    buckets = max(1, -(-n_rows // BUCKET))
-    tokens = tokens.withColumn("queue", queue).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    sums = stage(tokens.groupBy("queue", "bucket").agg(F.sum("n").alias("tokens")), "sums")
+    sums = stage(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "sums")
     totals_by = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("tokens")).collect()}  # at most QUEUES rows
     names = sorted(totals_by)
     totals = np.array([totals_by[q] for q in names], dtype=np.int64)
@@ -111,11 +158,9 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, windows:
     block = width * windows
     whole = int(totals.sum())
 
-    # The start of each bucket in its queue, then of each document in its bucket.
-    before = sums.select("queue", "bucket", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("bucket")) - F.col("tokens")).alias("before"))
-    order = Window.partitionBy("queue", "bucket").orderBy("doc_id", "n", F.xxhash64("ids"))
-    at = tokens.select("*", (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("within")).join(before, ["queue", "bucket"])
-    placed = at.select("doc_id", "queue", "n", "ids", (F.col("before") + F.col("within")).alias("at"))
+    # The start of each part in its queue, then of each document.
+    before = sums.select("queue", "part", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("before"))
+    placed = tokens.join(before, ["queue", "part"]).select("doc_id", "queue", "n", "ids", (F.col("before") + F.col("within")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts each document where a block ends in its queue."""
