@@ -13,6 +13,7 @@ result; repeated rows each get a result; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,6 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,44 +31,52 @@ SAMPLE_ROWS = 3000
 #: A word is known from this count on.
 KNOWN = 3
 ORDERS = (4, 3, 2, 1)
-_WORDS = regex.compile(r"\p{L}+")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+#: Words whose scores a worker remembers.
+REMEMBERED = 400_000
 
 
 @dataclass
 class Model:
     languages: list[str]
-    table: dict[str, np.ndarray]  # "w:" + word and "<order>:" + n-gram -> log frequency in each language
-    floor: np.ndarray
+    places: dict[str, int]  # "w:" + word and "<order>:" + n-gram -> row of table
+    table: np.ndarray  # log frequency in each language
+    floor: float = log(1e-9)
     cache: dict[str, int] = field(default_factory=dict, repr=False)
-    rows: list[np.ndarray] = field(default_factory=list, repr=False)
+    scores: np.ndarray | None = field(default=None, repr=False)
 
-    def word(self, w: str) -> np.ndarray:
-        if (known := self.table.get("w:" + w)) is not None:
-            return known
-        marked = f"<{w}>"
+    def word(self, w: str) -> np.ndarray | float:
+        if (known := self.places.get("w:" + w)) is not None:
+            return self.table[known]
+        marked, get = f"<{w}>", self.places.get
         for n in ORDERS:
-            found = [x for i in range(len(marked) - n + 1) if (x := self.table.get(f"{n}:{marked[i : i + n]}")) is not None]
+            found = [x for i in range(len(marked) - n + 1) if (x := get(f"{n}:{marked[i : i + n]}")) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.table[found].sum(0) / len(found)
         return self.floor
 
+    def _add(self, w: str) -> int:
+        if self.scores is None:
+            self.scores = np.empty((REMEMBERED, len(self.languages)), dtype=np.float32)
+        i = self.cache[w] = len(self.cache)
+        self.scores[i] = self.word(w)
+        return i
+
     def score(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS.findall(text.lower()) if text else []
+        words = Counter(_WORDS.findall(text.lower())) if text else None
         if not words or not self.languages:
             return "und", 0.0
         total = np.zeros(len(self.languages))
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-            self.rows.clear()
-        at = []
-        for w in words:
-            i = self.cache.get(w)
-            if i is None:
-                i = self.cache[w] = len(self.rows)
-                self.rows.append(self.word(w))
-            at.append(i)
-        for i, n in Counter(at).items():
-            total += n * self.rows[i]
+        kinds, counts = list(words), np.fromiter(words.values(), dtype=np.float64, count=len(words))
+        for a in range(0, len(kinds), REMEMBERED):  # a text of more kinds of words is scored in parts
+            part = kinds[a : a + REMEMBERED]
+            if len(self.cache) + len(part) > REMEMBERED:
+                self.cache.clear()
+            get, add = self.cache.get, self._add
+            at = [add(w) if (i := get(w)) is None else i for w in part]
+            total += counts[a : a + REMEMBERED] @ self.scores[at]
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -112,8 +120,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     totals: dict[str, np.ndarray] = {}
     for item, row in counts.items():
         totals[item[:2]] = totals.get(item[:2], 0) + row
-    table = {item: np.log((row + 0.5) / (totals[item[:2]] + 0.5 * len(counts))).astype(np.float32) for item, row in counts.items()}
-    return Model(languages, table, np.full(len(languages), log(1e-9)))
+    items = sorted(counts)
+    table = np.array([np.log((counts[x] + 0.5) / (totals[x[:2]] + 0.5 * len(counts))) for x in items], dtype=np.float32).reshape(len(items), len(languages))
+    return Model(languages, {x: i for i, x in enumerate(items)}, table)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
