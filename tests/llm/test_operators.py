@@ -125,14 +125,24 @@ def test_quality_counts(docs, empty):
     assert quality_rules.quality(empty).count() == 0
 
 
-def test_weak_supervision_finds_the_accuracies():
+def test_weak_supervision_finds_the_rates():
     rng = random.Random(1)
-    truth, votes = [0.95, 0.9, 0.7], Counter()
+    caught, votes, n_bad = [0.6, 0.5, 0.4], Counter(), 0
     for _ in range(20_000):
-        good = rng.random() < 0.8
-        votes[tuple(-1 if rng.random() < 0.2 else int(good == (rng.random() < a)) for a in truth)] += 1
-    prior, acc = quality_rules.fit(sorted(votes.items()), 3)
-    assert len(acc) == 3 and abs(prior - 0.8) < 0.03 and all(abs(g - a) < 0.05 for (g, _), a in zip(acc, truth, strict=True))
+        bad = rng.random() < 0.15
+        n_bad += bad
+        votes[tuple(0 if rng.random() < (c if bad else 0.005) else -1 for c in caught)] += 1
+    prior, rates = quality_rules.fit(sorted(votes.items()), 3)
+    assert abs(1 - prior - n_bad / 20_000) < 0.04 and all(abs(b[0] - c) < 0.1 for (_, b), c in zip(rates, caught, strict=True))
+
+
+def test_one_kind_of_junk_is_enough(spark):
+    rng = random.Random(2)
+    plain = lambda: re.sub(r"\d", lambda m: "abcdefghij"[int(m[0])], prose(rng, 120))
+    texts = [plain() for _ in range(80)] + [re.sub(" ", "*** ", plain()) for _ in range(6)] + [plain().upper() for _ in range(6)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in quality_rules.quality(frame).where("kept").collect()}
+    assert kept == set(range(80))
 
 
 def test_packing(docs, empty):

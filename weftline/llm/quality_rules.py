@@ -52,65 +52,77 @@ def counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote on the counts: 1 good, 0 bad, -1 abstains."""
+    """Each rule's vote on the counts: 1 good, 0 bad, -1 abstains. A rule that looks for one kind of junk never votes good."""
     c = F.col
 
-    def rule(bad: Column, good: Column, sees: Column) -> Column:
-        return F.when(~sees, -1).when(bad, 0).when(good, 1).otherwise(-1)
+    def rule(bad: Column, sees: Column, good: Column | None = None) -> Column:
+        vote = F.when(~sees, -1).when(bad, 0)
+        return (vote if good is None else vote.when(good, 1)).otherwise(-1)
 
     words = c("n_words") > 0
     return {
-        "length": rule(c("n_words") < 20, c("n_words") >= 50, F.lit(True)),
-        "word_length": rule((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 12 * c("n_words")), c("word_chars").between(3 * c("n_words"), 10 * c("n_words")), words),
-        "symbols": rule(10 * c("n_symbols") > c("n_words"), 100 * c("n_symbols") <= c("n_words"), words),
-        "lines": rule(10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0, c("n_lines") >= 3),
-        "repeats": rule(100 * c("n_repeat_words") > 15 * c("n_words"), 100 * c("n_repeat_words") <= 3 * c("n_words"), c("n_words") >= 20),
-        "variety": rule(100 * c("n_distinct") < 15 * c("n_words"), 100 * c("n_distinct") >= 25 * c("n_words"), c("n_words").between(20, 2000)),
-        "capitals": rule(2 * c("n_upper") > c("word_chars"), 10 * c("n_upper") <= c("word_chars"), c("word_chars") >= 50),
-        "digits": rule(4 * c("n_digits") > c("word_chars"), 20 * c("n_digits") <= c("word_chars"), c("word_chars") >= 50),
+        "length": rule(c("n_words") < 10, F.lit(True), c("n_words") >= 40),
+        "word_length": rule((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 12 * c("n_words")), words, c("word_chars").between(3 * c("n_words"), 10 * c("n_words"))),
+        "symbols": rule(8 * c("n_symbols") > c("n_words"), words),
+        "lines": rule(2 * c("n_dup_lines") > c("n_lines"), c("n_lines") >= 3),
+        "repeats": rule(100 * c("n_repeat_words") > 18 * c("n_words"), c("n_words") >= 20),
+        "variety": rule(100 * c("n_distinct") < 15 * c("n_words"), c("n_words").between(20, 2000)),
+        "capitals": rule(2 * c("n_upper") > c("word_chars"), c("word_chars") >= 50),
+        "digits": rule(4 * c("n_digits") > c("word_chars"), c("word_chars") >= 50),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], m: int, rounds: int = 50, prior: float = 0.9) -> tuple[float, list[tuple[float, float]]]:
-    """(share of good documents, for each rule P(vote good | good, votes) and P(vote bad | bad, votes)), by expectation-maximisation.
+#: Where the rates of votes (good, bad, abstaining) begin, for good documents and for bad ones; they also smooth the counts, as one document.
+START = ({1: 0.6, 0: 0.01, -1: 0.39}, {1: 0.3, 0: 0.3, -1: 0.4})
+#: Each rule is built to blame one good document in a hundred at most and to catch a twentieth of the bad ones at least.
+#: Without these bounds the fit may take any two rules that agree for the two classes.
+MOST_BLAMED, LEAST_CAUGHT = 0.01, 0.05
+Rates = tuple[dict[int, float], dict[int, float]]
 
-    The counts are smoothed by one vote at the starting accuracy, 0.8, and accuracies stay in [0.55, 0.99], so that a rule can't turn round."""
-    acc = [(0.8, 0.8)] * m
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], m: int, rounds: int = 50, prior: float = 0.9) -> tuple[float, list[Rates]]:
+    """(share of good documents, for each of m rules the rates of its votes in good and in bad ones), by expectation-maximisation.
+
+    The bounds on blame keep each rule's sense."""
+    rates: list[Rates] = [START] * m
     for _ in range(rounds):
         good = total = 0.0
-        right = [[0.8, 1.0, 0.8, 1.0] for _ in range(m)]
+        seen = [(dict(START[0]), dict(START[1])) for _ in range(m)]
         for vote, n in patterns:
-            p = posterior(vote, prior, acc)
+            p = posterior(vote, prior, rates)
             good, total = good + n * p, total + n
-            for r, v in zip(right, vote, strict=True):
-                if v >= 0:
-                    r[0] += n * p * (v == 1)
-                    r[1] += n * p
-                    r[2] += n * (1 - p) * (v == 0)
-                    r[3] += n * (1 - p)
-        prior = min(0.99, max(0.5, good / total)) if total else prior
-        acc = [tuple(min(0.99, max(0.55, x)) for x in (r[0] / r[1], r[2] / r[3])) for r in right]
-    return prior, acc
+            for (g, b), v in zip(seen, vote, strict=True):
+                g[v] += n * p
+                b[v] += n * (1 - p)
+        prior = min(0.99, max(0.7, good / total)) if total else prior
+        rates = []
+        for g, b in seen:
+            g, b = ({v: x / sum(r.values()) for v, x in r.items()} for r in (g, b))
+            g[0], b[0] = min(g[0], MOST_BLAMED), max(b[0], LEAST_CAUGHT)
+            rates.append((g, b))
+    return prior, rates
+
+
+def weight(rates: Rates, vote: int) -> float:
+    """What a vote, or abstaining, adds to the log-odds."""
+    return max(-12.0, min(12.0, log(rates[0][vote] / rates[1][vote])))
 
 
-def posterior(vote: tuple[int, ...], prior: float, acc: list[tuple[float, float]]) -> float:
-    odds = log(prior / (1 - prior))
-    for v, (g, b) in zip(vote, acc, strict=True):
-        odds += log(g / (1 - b)) if v == 1 else log((1 - g) / b) if v == 0 else 0.0
-    return 1 / (1 + exp(-odds))
+def posterior(vote: tuple[int, ...], prior: float, rates: list[Rates]) -> float:
+    return 1 / (1 + exp(-log(prior / (1 - prior)) - sum(weight(r, v) for r, v in zip(rates, vote, strict=True))))
 
 
 def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """The counts, base_failed, quality (posterior) and kept of each document."""
+    """The counts, base_failed, kept and p_good, the posterior, of each document."""
     voted = stage(counts(docs, text, doc_id).select("*", *(v.alias(f"vote_{k}") for k, v in votes().items())), "votes")
     columns = [f"vote_{k}" for k in votes()]
     patterns = [(tuple(r[c] for c in columns), r["n"]) for r in voted.groupBy(*columns).agg(F.count("*").alias("n")).collect()]
-    prior, acc = fit(sorted(patterns), len(columns))
+    prior, rates = fit(sorted(patterns), len(columns))
     odds = F.lit(log(prior / (1 - prior)))
-    for c, (g, b) in zip(columns, acc, strict=True):
-        odds = odds + F.when(F.col(c) == 1, log(g / (1 - b))).when(F.col(c) == 0, log((1 - g) / b)).otherwise(0.0)
+    for c, r in zip(columns, rates, strict=True):
+        odds = odds + F.when(F.col(c) == 1, weight(r, 1)).when(F.col(c) == 0, weight(r, 0)).otherwise(weight(r, -1))
     p = 1 / (1 + F.exp(-odds))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return voted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p >= least)).alias("kept"), F.round(p, 6).alias("quality")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p >= least)).alias("kept"), F.round(p, 6).alias("p_good")
     )
