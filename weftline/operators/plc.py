@@ -34,3 +34,33 @@ def moving_stats(df: DataFrame, value: str, key: str, order: str, n: int = 50) -
     short = F.count("*").over(w) < n
     low, high = F.min(value).over(w), F.max(value).over(w)
     return df.withColumns({"avg_n": F.sum(value).over(w) / n, "min_n": F.when(short, F.least(low, F.lit(0.0))).otherwise(low), "max_n": F.when(short, F.greatest(high, F.lit(0.0))).otherwise(high)})
+
+
+def down_counter(df: DataFrame, pulse: Column, load: Column, key: str, order: str, preset: int) -> DataFrame:
+    """The preset less the pulses since the last load, not below zero; done at zero."""
+    counted = up_counter(df, pulse, load, key, order, preset)
+    return counted.withColumn("counter", F.greatest(F.lit(preset) - F.col("counter"), F.lit(0)).cast("long")).withColumn("done", F.col("counter") == 0)
+
+
+def off_delay(df: DataFrame, value: Column, key: str, order: str, at: str, delay: float) -> DataFrame:
+    """True while the input is, and for less than `delay` after it last was."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(value, F.col(at)), ignorenulls=True).over(w)
+    return df.withColumn("held", F.coalesce(value | (F.col(at) - last < delay), F.lit(False)))
+
+
+def pid(df: DataFrame, key: str, order: str, at: str, value: str, target: float, kp: float, ki: float, kd: float, low: float, high: float) -> DataFrame:
+    """A controller's output at each row; its integral is clamped to [low, high], so each value needs the one before: one key's rows at a time."""
+
+    def run(table):
+        table, out, total, before, then = table.sort_values(order), [], 0.0, None, None
+        for t, x in zip(table[at], table[value], strict=True):
+            step, error = (t - then if then is not None else 0.0), target - x
+            total = min(high, max(low, total + ki * error * step))
+            slope = (error - before) / step if before is not None and step > 0 else 0.0
+            out.append(min(high, max(low, kp * error + total + kd * slope)))
+            before, then = error, t
+        return table.assign(output=out)
+
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "output double"])
+    return df.groupBy(key).applyInPandas(run, shape)
