@@ -29,7 +29,7 @@ from weftline.llm.common import encoded, prefix_hash, range_hash, sliced, stage,
 
 LENGTH, GRAM = 200, 50
 #: Bytes of segments in a shard, and segments of one string beyond which its shard is split.
-SHARD_BYTES, SPLIT = 1_500_000, 4000
+SHARD_BYTES, SPLIT = 1_000_000, 3000
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -64,8 +64,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
             offset += size
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """(suffixes in the order of their first `depth` bytes or more, ranks, ranks by depth reached), by Larsson-Sadakane refinement."""
+def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in the order of their first `depth` bytes or more, ranks at depth 128), by Larsson-Sadakane refinement."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
@@ -82,7 +82,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
 
     slots = np.arange(n)
     number(slots, same)
-    h, by = 8, {8: rank.copy()}
+    h, at_128 = 8, rank
     while h < depth:
         r = rank[order]
         again = np.concatenate([[False], r[1:] == r[:-1]])
@@ -97,11 +97,12 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
             both = both[turn]
             number(open_, np.concatenate([[False], both[1:] == both[:-1]]))
         h *= 2
-        by[h] = rank.copy()
-    return order, rank, by
+        if h == 128:
+            at_128 = rank.copy()
+    return order, at_128
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, rank_: np.ndarray, by: dict[int, np.ndarray], starts: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, r: np.ndarray, starts: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
     """Kasai's algorithm, a step in all segments at a time: for each window start, the bytes it shares with the suffix before it in order, up to `most`.
 
     Where the last value reached `most`, suffixes that agree for longer may stand in either order, so the next one doesn't
@@ -113,7 +114,6 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank_: np.ndarray, by:
         word = (word << np.uint64(8)) | padded[j : n + most + j]
     slot = np.empty(n, dtype=np.int64)
     slot[order] = np.arange(n)
-    r = by[128]
     out = np.zeros(n, dtype=np.int32)
     carry = np.zeros(len(starts), dtype=np.int64)
     live = np.arange(len(starts))
@@ -150,8 +150,8 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray) -> tuple[np.ndar
     lengths = np.array([len(s) for s in segments])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     windows = lengths - LENGTH + 1
-    order, rank, by = suffix_array(data, LENGTH)
-    shared = common_prefixes(data, order, rank, by, starts, windows, LENGTH)
+    order, at_128 = suffix_array(data, LENGTH)
+    shared = common_prefixes(data, order, at_128, starts, windows, LENGTH)
     segment = np.repeat(np.arange(len(segments)), windows)
     place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     at = starts[segment] + place
@@ -159,9 +159,9 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray) -> tuple[np.ndar
     valid[at] = True
     # Windows in suffix order; a common prefix of LENGTH with a suffix that is no window runs on through it.
     joined = shared[order] >= LENGTH
-    lead = by[128][order]
+    lead = at_128[order]
     off = ~valid[order]
-    tail = by[128][np.minimum(order + LENGTH - 128, len(data) - 1)]
+    tail = at_128[np.minimum(order + LENGTH - 128, len(data) - 1)]
     joined[off] = np.concatenate([[False], (lead[1:] == lead[:-1]) & (tail[1:] == tail[:-1])])[off]
     kind_in_order = np.cumsum(~joined)
     kind_at = np.empty(len(data), dtype=np.int64)
@@ -284,9 +284,13 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
     kinds = found.groupBy("segment").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"))
     kinds = stage(kinds, "kinds")
-    size = kinds.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    # Where all segments of a string stand twice, all their windows repeat already; only strings with a lone segment are sorted.
+    split = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"), F.min("n").alias("least"), F.sum(F.length("bytes")).alias("size"))
+    split = stage(split, "strings")
+    size = split.where("least = 1").agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    split = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+    settled = kinds.join(split.where("least > 1").select("anchor"), "anchor").select("segment", F.array(F.lit(0), (F.length("bytes") - LENGTH + 1).cast("int")).alias("runs"))
+    split = split.where("least = 1").select("anchor", "parts")
     sharded = kinds.join(split, "anchor").select(
         "*", F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"), F.pmod(F.xxhash64("segment"), F.col("parts")).cast("int").alias("part")
     )
@@ -298,7 +302,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     # A window that another part knows repeats wherever its own part has it: all its segments are asked again by fingerprint.
     every = kinds.join(split.where("parts > 1"), "anchor").select("segment", "anchor", "bytes").mapInArrow(_windows, "segment binary, anchor long, place int, w1 long, w2 long")
     late = every.join(met, ["anchor", "w1", "w2"]).groupBy("segment").agg(F.flatten(F.collect_list(F.array("place", F.lit(1)))).alias("runs"))
-    runs = solved.select("segment", "runs").where("size(runs) > 0").unionByName(late.select("segment", F.col("runs").cast("array<int>")))
+    runs = solved.select("segment", "runs").where("size(runs) > 0").unionByName(settled).unionByName(late.select("segment", F.col("runs").cast("array<int>")))
     runs = runs.groupBy("segment").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     spans = found.select("segment", "doc_id", "mark", "place").join(runs, "segment").select(
