@@ -27,17 +27,20 @@ def counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     base = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"))
     base = base.select("doc_id", "t", F.filter(F.split("t", f"{SPACE}+"), lambda w: w != "").alias("w"))
     n = F.size("w")
-    # Each window with its place; equal windows stand side by side once sorted.
-    windows = F.when(n >= WINDOW, F.array_sort(F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.struct(F.concat_ws(" ", F.slice("w", i, WINDOW)).alias("s"), i.alias("i")))))
+    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.concat_ws(" ", F.slice("w", i, WINDOW))))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    shaped = base.select("doc_id", "t", n.alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"), windows.alias("g"), F.size(lines).alias("n_lines"), F.size(F.array_distinct(lines)).alias("n_unique_lines"))
+    shaped = base.select("t", "doc_id", n.alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), F.size(F.array_distinct("w")).alias("n_distinct"), windows.alias("s"), F.size(lines).alias("n_lines"), F.size(F.array_distinct(lines)).alias("n_unique_lines"))
+    # Only a text with equal windows has them sorted, each with its place, so that equal ones stand side by side.
+    none = F.array().cast("array<struct<s: string, i: int>>")
+    ordered = F.when(F.size(F.array_distinct("s")) < F.size("s"), F.array_sort(F.transform("s", lambda x, i: F.struct(x.alias("s"), (i + 1).alias("i"))))).otherwise(none)
+    shaped = shaped.withColumn("g", ordered).drop("s")
     m = F.size("g")
     same = lambda i, j: F.when((j >= 1) & (j <= m), F.get("g", i - 1)["s"] == F.get("g", j - 1)["s"]).otherwise(False)
     twice = F.filter(F.sequence(F.lit(1), m), lambda i: same(i, i - 1) | same(i, i + 1))
     places = F.when(m >= 2, F.array_sort(F.transform(twice, lambda i: F.get("g", i - 1)["i"]))).otherwise(F.array().cast("array<int>"))
     found = shaped.select(
         "doc_id", "n_words", "n_distinct", "n_lines",
-        F.length(F.regexp_replace("t", f"{SPACE}+", "")).alias("word_chars"),
+        "word_chars",
         F.length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).alias("n_symbols"),
         (F.col("n_lines") - F.col("n_unique_lines")).alias("n_dup_lines"),
         F.length(F.regexp_replace("t", "[^A-Z]+", "")).alias("n_upper"),
