@@ -164,15 +164,25 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, windows:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts each document where a block ends in its queue."""
+        known: dict[int, list[int]] = {}
+
+        def ends(b: int) -> list[int]:
+            if b not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[b] = used(totals, min(whole, (b + 1) * block)).tolist()
+            return known[b]
+
+        each = (totals.astype(object) * block).tolist()
         for batch in batches:
             rows = {k: [] for k in ("block", "doc_id", "queue", "at", "start", "n", "doc_tokens", "ids")}
             for d, q, n, ids, a in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "n", "ids", "at")), strict=True):
                 i, start = place[q], 0
                 while start < n:
-                    b = max(0, (a + start) * whole // (int(totals[i]) * block) - 1)  # near the block; the sum decides
-                    while min(whole, (b + 1) * block) < whole and used(totals, (b + 1) * block)[i] <= a + start:
+                    b = max(0, (a + start) * whole // each[i] - 1)  # near the block; the sum decides
+                    while (b + 1) * block < whole and ends(b)[i] <= a + start:
                         b += 1
-                    end = min(n, int(used(totals, min(whole, (b + 1) * block))[i]) - a)
+                    end = min(n, ends(b)[i] - a)
                     for k, v in zip(rows, (b, d, i, a + start, start, end - start, n, ids[2 * start : 2 * end]), strict=True):
                         rows[k].append(v)
                     start = end
@@ -216,7 +226,11 @@ def digests(pieces: DataFrame) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+            wide = memoryview(np.frombuffer(ids.buffers()[2], dtype="<u2", count=(ends[-1] - ends[0]) // 2, offset=int(ends[0])).astype("<u4").tobytes()) if ends[-1] > ends[0] else memoryview(b"")
+            at = (2 * (ends - ends[0])).tolist()
+            crc = [zlib.crc32(wide[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length")), pa.array(crc, pa.int64()), *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return pieces.mapInArrow(over, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
