@@ -26,6 +26,8 @@ from weftline.llm.common import rows_per_partition, stage, tune
 
 VOCABULARY, OTHER = 4032, 64
 CLASSES = 64  # of CLASSES tokens each: VOCABULARY + OTHER = CLASSES ** 2
+#: A word of the vocabulary is one of so many words of the corpus at least.
+RAREST = 1_000_000
 RADIUS, EMBED, HIDDEN = 2, 16, 32
 TRAIN_SHARE, ROUNDS, BLOCK_ROWS = 32, 2, 400
 PAD = VOCABULARY + OTHER
@@ -142,9 +144,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     tune(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = stage(rows.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    ids = {r["word"]: i for i, r in enumerate(top)}
     total = counts.agg(F.sum("n")).first()[0] or 0
+    # A million words at most have a share of a millionth, so what tasks send to the driver has a bound.
+    top = counts.where(F.col("n") * RAREST >= total).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    ids = {r["word"]: i for i, r in enumerate(top)}
     frequency = np.zeros(PAD)
     frequency[: len(top)] = [r["n"] for r in top]
     frequency[VOCABULARY:] = max(0, total - frequency.sum()) / OTHER
