@@ -294,3 +294,12 @@ def test_masked_lm(spark, docs, empty, monkeypatch):
     for _ in range(30):
         language_model.log_chances(net, sides, tokens, 0.5)
     assert language_model.log_chances(net, sides, tokens).mean() > before + 1
+
+
+def test_masked_lm_trains_on_all_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_model, "_averaged", lambda copies, net: seen.append(sum(r["n"] for r in copies.collect())) or net)
+    texts = [f"a b c d{i}" for i in range(90)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert language_model.score(frame).count() == 92
+    assert seen == [4 * 90] * language_model.ROUNDS

@@ -3,9 +3,8 @@
 Tokens are words; the vocabulary is the corpus's VOCABULARY most frequent ones, counted over every document, and any
 other word is one of OTHER hashed classes by its ending. The network embeds the RADIUS tokens on either side of the
 masked place, mixes them in a hidden layer and predicts the token through a two-level softmax (class, then word in the
-class), so each token costs a few thousand operations. Every block of the corpus trains a copy of the network on a
-share (TRAIN_SHARE, chosen by a hash of doc_id) of its documents, and the copies are averaged by tokens seen, ROUNDS
-times; what is gathered, counts and copies, grows with the corpus.
+class), so each token costs a few thousand operations. Every block of the corpus trains a copy of the network on all
+of its documents, and the copies are averaged by tokens seen, ROUNDS times; what is gathered, counts and copies, grows with the corpus.
 
 Defined results: a null, empty or blank text has no tokens, log-likelihood 0 and null mean; repeated rows each get a
 result; an empty table gives an empty result; extra columns are not read. Blocks follow a hash of doc_id, so results
@@ -29,7 +28,7 @@ CLASSES = 64  # of CLASSES tokens each: VOCABULARY + OTHER = CLASSES ** 2
 #: A word of the vocabulary is one of so many words of the corpus at least.
 RAREST = 1_000_000
 RADIUS, EMBED, HIDDEN = 2, 16, 32
-TRAIN_SHARE, ROUNDS, BLOCK_ROWS = 32, 2, 400
+ROUNDS, BLOCK_ROWS = 2, 4000
 PAD = VOCABULARY + OTHER
 _PARTS = (("embed", (PAD + 1, EMBED)), ("mix", (2 * RADIUS * EMBED, HIDDEN)), ("mix0", (HIDDEN,)), ("head", (HIDDEN, CLASSES)), ("head0", (CLASSES,)), ("tail", (CLASSES, HIDDEN, CLASSES)), ("tail0", (CLASSES, CLASSES)))
 
@@ -184,9 +183,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         return learn
 
     net = start(frequency)
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(TRAIN_SHARE)) == 0)
-    blocks = rows_per_partition(chosen, "text", BLOCK_ROWS)
-    learners = stage(chosen.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))), "learners")
+    blocks = rows_per_partition(rows, "text", BLOCK_ROWS)
+    learners = stage(rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))), "learners")
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(_packed(net))  # of fixed size
 
