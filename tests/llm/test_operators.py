@@ -296,6 +296,17 @@ def test_masked_lm(spark, docs, empty, monkeypatch):
     assert language_model.log_chances(net, sides, tokens).mean() > before + 1
 
 
+def test_masked_lm_predicts_every_word(spark):
+    """Of two texts that differ in one word outside the vocabulary, with the same ending, the one with the commoner word scores higher by the ratio of counts."""
+    rng = random.Random(1)
+    known = [f"w{i}" for i in range(language_model.VOCABULARY)]
+    texts = [" ".join(known * 5)] + ["rarexx"] * 3 + ["oncexx"] + [" ".join(rng.choice(known) for _ in range(50)) for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in language_model.score(frame).collect()}
+    assert got[1]["log_likelihood"] - got[4]["log_likelihood"] == pytest.approx(np.log(3), abs=1e-4)
+    assert got[1]["n_tokens"] == got[4]["n_tokens"] == 1
+
+
 def test_masked_lm_trains_on_all_documents(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(language_model, "_averaged", lambda copies, net: seen.append(sum(r["n"] for r in copies.collect())) or net)

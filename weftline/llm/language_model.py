@@ -1,10 +1,15 @@
 """LM scoring by masked pseudo-likelihood (operator 5): a bidirectional window network in numpy.
 
-Tokens are words; the vocabulary is the corpus's VOCABULARY most frequent ones, counted over every document, and any
-other word is one of OTHER hashed classes by its ending. The network embeds the RADIUS tokens on either side of the
-masked place, mixes them in a hidden layer and predicts the token through a two-level softmax (class, then word in the
-class), so each token costs a few thousand operations. Every block of the corpus trains a copy of the network on all
-of its documents, and the copies are averaged by tokens seen, ROUNDS times; what is gathered, counts and copies, grows with the corpus.
+Tokens are words, and every word of the corpus is predicted. The network's vocabulary is the corpus's VOCABULARY most
+frequent words, counted over every document, and OTHER hashed classes of all other words by their endings. It embeds
+the RADIUS tokens on either side of the masked place, mixes them in a hidden layer and predicts the token through a
+two-level softmax (class, then word in the class), so each token costs a few thousand operations; a word outside the
+vocabulary has the chance of its hashed class times its share of that class's words, from the table of all words.
+
+Texts are read once, in chunks: a chunk's distinct words are rows of a table, its documents are numbers of these rows.
+The table is counted, joined with its counts, and the documents are rewritten as network tokens. Every block of the
+corpus trains a copy of the network on all of its documents, and the copies are averaged by tokens seen, ROUNDS times;
+what is gathered, words and copies, grows with the corpus.
 
 Defined results: a null, empty or blank text has no tokens, log-likelihood 0 and null mean; repeated rows each get a
 result; an empty table gives an empty result; extra columns are not read. Blocks follow a hash of doc_id, so results
@@ -13,11 +18,11 @@ don't depend on the order of rows or files.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,10 @@ CLASSES = 64  # of CLASSES tokens each: VOCABULARY + OTHER = CLASSES ** 2
 RAREST = 1_000_000
 RADIUS, EMBED, HIDDEN = 2, 16, 32
 ROUNDS, BLOCK_ROWS = 2, 4000
+#: Places scored at a time.
+SCORED = 1 << 12
+#: Words of a chunk, about.
+CHUNK = 1 << 18
 PAD = VOCABULARY + OTHER
 _PARTS = (("embed", (PAD + 1, EMBED)), ("mix", (2 * RADIUS * EMBED, HIDDEN)), ("mix0", (HIDDEN,)), ("head", (HIDDEN, CLASSES)), ("head0", (CLASSES,)), ("tail", (CLASSES, HIDDEN, CLASSES)), ("tail0", (CLASSES, CLASSES)))
 
@@ -67,7 +76,7 @@ def _soft(x: np.ndarray) -> np.ndarray:
 
 def log_chances(net: dict, sides: np.ndarray, tokens: np.ndarray, rate: float = 0.0) -> np.ndarray:
     """log P(token | both sides) at each place; with a rate, one step of gradient descent too. Places are taken class by class."""
-    order = np.argsort(tokens // CLASSES, kind="stable")
+    order = np.argsort((tokens // CLASSES).astype(np.uint8), kind="stable")
     sides, tokens = sides[order], tokens[order]
     group, member = tokens // CLASSES, tokens % CLASSES
     n = len(tokens)
@@ -99,9 +108,11 @@ def log_chances(net: dict, sides: np.ndarray, tokens: np.ndarray, rate: float =
         dx = (dh @ net["mix"].T).reshape(-1, EMBED)
         net["mix"] -= rate / n * (x.T @ dh)
         net["mix0"] -= rate / n * dh.sum(0)
-        places = sides.reshape(-1)
+        places = sides.reshape(-1).astype(np.uint16)
         by = np.argsort(places, kind="stable")
-        kinds, firsts = np.unique(places[by], return_index=True)
+        places = places[by]
+        firsts = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
+        kinds = places[firsts]
         step = np.add.reduceat(dx[by], firsts)
         counts = np.diff([*firsts, len(places)])
         net["embed"][kinds] -= (rate * 0.2) * step / np.sqrt(counts)[:, None]
@@ -110,12 +121,32 @@ def log_chances(net: dict, sides: np.ndarray, tokens: np.ndarray, rate: float =
     return back
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (chunk, doc_id, ids: the places of their words in the chunk's list) and of the list (chunk, place, word, other, n)."""
+    from xxhash import xxh3_64_intdigest
+
+    chunk = TaskContext.get().partitionId() << 32
+    hashed = lambda w: xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
     for batch in batches:
-        seen: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update(words(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        doc_ids, texts, i = batch.column(0), batch.column(1).to_pylist(), 0
+        while i < len(texts):
+            places: dict[str, int] = {}
+            first, docs, size = i, [], 0
+            while i < len(texts) and (i == first or size < CHUNK):
+                docs.append(np.array([places.setdefault(w, len(places)) for w in words(texts[i])], dtype="<u4"))
+                size += len(docs[-1])
+                i += 1
+            m = len(docs)
+            none = lambda k, t: pa.nulls(k, t)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), doc_ids.slice(first, m), pa.array([d.tobytes() for d in docs], pa.binary()), none(m, pa.int32()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int64())], names=_READ)
+            if k := len(places):
+                word = np.array([hashed(w) for w in places], dtype=np.uint64).view(np.int64)
+                n = np.bincount(np.concatenate(docs), minlength=k).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array(word), pa.array([_other(w) for w in places], pa.int32()), pa.array(n)], names=_READ)
+            chunk += 1
+
+
+_READ = ["chunk", "doc_id", "ids", "place", "word", "other", "n"]
 
 
 def _packed(net: dict) -> bytes:
@@ -142,34 +173,47 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counts = stage(rows.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    blocks = rows_per_partition(rows, "text", BLOCK_ROWS)
+    read = stage(rows.mapInArrow(_read, "chunk long, doc_id long, ids binary, place int, word long, other int, n long"), "read")
+    listed = read.where("word is not null")
+    counts = stage(listed.groupBy("word").agg(F.sum("n").alias("n"), F.min("other").alias("other")), "words")
+    of_class = np.zeros(OTHER)  # how many words each class has outside the vocabulary
+    for r in counts.groupBy("other").agg(F.sum("n").alias("n")).collect():
+        of_class[r["other"] - VOCABULARY] = r["n"]
+    total = int(of_class.sum())
     # A million words at most have a share of a millionth, so what tasks send to the driver has a bound.
     top = counts.where(F.col("n") * RAREST >= total).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    ids = {r["word"]: i for i, r in enumerate(top)}
     frequency = np.zeros(PAD)
     frequency[: len(top)] = [r["n"] for r in top]
-    frequency[VOCABULARY:] = max(0, total - frequency.sum()) / OTHER
-    vocabulary = spark.sparkContext.broadcast(ids)  # VOCABULARY words at most
-
-    def known(t: str | None, cache: dict[str, int]) -> np.ndarray:
-        get, found = vocabulary.value.get, []
-        for w in words(t):
-            i = cache.get(w)
-            if i is None:
-                if len(cache) > 200_000:
-                    cache.clear()
-                i = cache[w] = get(w, -1)
-                if i < 0:
-                    i = cache[w] = _other(w)
-            found.append(i)
-        return np.array(found, dtype=np.int32)
+    for r in top:
+        of_class[r["other"] - VOCABULARY] -= r["n"]
+    frequency[VOCABULARY:] = of_class
+    by_word = sorted((r["word"], i) for i, r in enumerate(top))
+    # VOCABULARY words at most, and one that ends the search and is never taken for a word
+    vocabulary = np.array([*(w for w, _ in by_word), 0], dtype=np.int64), np.array([*(i for _, i in by_word), 0], dtype=np.uint16)
+
+    def coded(texts: pa.Table, table: pa.Table) -> pa.Table:
+        """A chunk's documents as network tokens, and the log shares of their other words in their classes."""
+        place, word, other, n = (table.column(c).to_numpy() for c in ("place", "word", "other", "n"))
+        size = len(place)
+        token, share = np.zeros(size, dtype="<u2"), np.zeros(size)
+        at = np.searchsorted(vocabulary[0][:-1], word)
+        known = (vocabulary[0][at] == word) & (at < len(vocabulary[0]) - 1)
+        token[place] = np.where(known, vocabulary[1][at], other)
+        share[place] = np.where(known, 0.0, np.log(n / np.where(known, 1.0, of_class[other - VOCABULARY])))
+        ids = [np.frombuffer(x, dtype="<u4") for x in texts.column("ids").to_pylist()]
+        return pa.table({"doc_id": texts.column("doc_id"), "tokens": pa.array([token[x].tobytes() for x in ids], pa.binary()), "rare": pa.array([float(share[x].sum()) for x in ids], pa.float64())})
+
+    lists = listed.select(F.col("chunk").alias("of"), "place", "word").join(counts, "word")
+    texts = read.where("word is null").select("chunk", "doc_id", "ids")
+    coded_rows = stage(texts.groupBy("chunk").cogroup(lists.groupBy("of")).applyInArrow(coded, "doc_id long, tokens binary, rare double"), "coded")
+    ids_of = lambda x: np.frombuffer(x, dtype="<u2").astype(np.int32)
 
     def learner(shared):
         def learn(key: tuple, table: pa.Table) -> pa.Table:
-            mine, cache = _unpacked(shared.value), {}
+            mine = _unpacked(shared.value)
             t = table.sort_by("doc_id")
-            texts = [x for x in (known(x, cache) for x in t.column("text").to_pylist()) if len(x)]
+            texts = [ids_of(x) for x in t.column("tokens").to_pylist() if x]
             n = 0
             if texts:
                 sides, tokens, _ = contexts(texts)
@@ -183,8 +227,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         return learn
 
     net = start(frequency)
-    blocks = rows_per_partition(rows, "text", BLOCK_ROWS)
-    learners = stage(rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))), "learners")
+    learners = coded_rows.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(_packed(net))  # of fixed size
 
@@ -193,10 +236,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     shared = spark.sparkContext.broadcast(_packed(net))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, cache = _unpacked(shared.value), {}
+        mine = _unpacked(shared.value)
         for batch in batches:
-            texts = [known(x, cache) for x in batch.column(1).to_pylist()]
-            sums = np.zeros(len(texts))
+            texts = [ids_of(x) for x in batch.column(1).to_pylist()]
+            sums = batch.column(2).to_numpy().copy()
             a = 0
             while a < len(texts):
                 b, size = a, 0
@@ -205,14 +248,14 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                     b += 1
                 if size:
                     sides, tokens, doc = contexts(texts[a:b])
-                    for i in range(0, len(tokens), 1 << 15):
-                        cut = slice(i, i + (1 << 15))
+                    for i in range(0, len(tokens), SCORED):
+                        cut = slice(i, i + SCORED)
                         sums[a:b] += np.bincount(doc[cut], log_chances(mine, sides[cut], tokens[cut]).astype(np.float64), minlength=b - a)
                 a = b
             n = np.array([len(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / k if k else None for s, k in zip(sums, n, strict=True)], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return rows.mapInArrow(over, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return coded_rows.mapInArrow(over, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def _averaged(copies: DataFrame, net: dict) -> dict:
