@@ -12,6 +12,8 @@ from weftline.llm.common import documents, stage
 
 #: A document whose best language has a lower probability than this, or that has no letters, is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Documents that share so many percent of their shingles are near-duplicates.
+NEAR_PERCENT = 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, percent=NEAR_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables: what each must keep, and that nothing else is lost."""
 
+import re
+
 import pytest
 
 import corpus_pipeline
@@ -54,6 +56,36 @@ def test_one_of_each_group_stays(kept):
     assert {r["doc_id"] for r in after.select("doc_id").collect()} == {d for d, c in groups.items() if d == c}
 
 
+def test_near_copies_at_four_fifths(spark, kept):
+    """The stage against brute-force Jaccard at 0.8, over its own input and pairs of 0.80 to 0.85."""
+    text = " ".join(f"word{i}" for i in range(104))
+    edited = [" ".join(f"edit{i}" if i in at else f"word{i}" for i in range(104)) for at in ((20, 60), (), (1, 30, 60, 90))]
+    before = kept[2][0]
+    extra = spark.createDataFrame([(10**9 + i, t, "en", "a", len(t)) for i, t in enumerate([text, *edited])], before.schema)
+    both = before.unionByName(extra)
+    sets = {}
+    for r in both.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    between = 0
+    for a in sorted(sets):
+        for b in sets:
+            common, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and union and 100 * common >= 80 * union:
+                between += 100 * common < 85 * union
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r[0] for r in corpus_pipeline.near_dedup(spark, both, SF).select("doc_id").collect()}
+    assert between and got == {d for d in sets if find(d) == d}
+
+
 def test_no_item_is_left(spark, kept):
     before, after = kept[3]
     items = [decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
