@@ -9,6 +9,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 import oracle
 
 import __spark_entry__
+from weftline.operators import automata
+from weftline.sources import adapters
 from weftline.plans.oracle import ORACLES
 from weftline.plans.queries import QUERIES
 
@@ -28,3 +30,24 @@ def test_gives_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_reduces_the_models_of_all_training_windows(spark):
+    """Against every pair of every window's model, the nearest first."""
+    words = {}
+    for r in sorted(adapters.words(spark, SF).where("train").collect(), key=lambda r: r["ord"]):
+        words.setdefault(r["model"], {}).setdefault(r["win"], []).append(list(r["word"]))
+    want = set()
+    for model, windows in words.items():
+        learned, kept = {w: automata.alergia(x) for w, x in windows.items()}, []
+        for w in sorted(windows):
+            if all(repr(learned[w].table()) != repr(learned[v].table()) for v in kept):
+                kept.append(w)
+        pairs, spent, gone = sorted((automata.automaton_distance(learned[v], learned[w]), v, w) for v in kept for w in kept if v < w), 0.0, set()
+        for d, v, w in pairs:
+            if not {v, w} & gone and spent + d <= 0.5:
+                gone.add(w)
+                spent += d
+        want |= {(model, w) for w in kept if w not in gone}
+    assert max(w for x in words.values() for w in x) > 8
+    assert {tuple(r) for r in QUERIES["at_reduce_models"](spark, SF).collect()} == want

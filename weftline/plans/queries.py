@@ -342,7 +342,7 @@ def at_reduce_models(spark, d):
         left = A.reduce_models([A.alergia(words) for _, words in parts], 0.5)
         return pd.DataFrame({"model": t["model"].iloc[0], "win": [parts[i][0] for i in left]})
 
-    return _train(spark, d).where("win < 8").select("model", "win", "ord", "word").groupBy("model").applyInPandas(keep, "model string, win long")
+    return _train(spark, d).select("model", "win", "ord", "word").groupBy("model").applyInPandas(keep, "model string, win long")
 
 
 @query
