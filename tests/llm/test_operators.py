@@ -314,3 +314,20 @@ def test_masked_lm_trains_on_all_documents(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert language_model.score(frame).count() == 92
     assert seen == [4 * 90] * language_model.ROUNDS
+
+
+def test_licences_across_lines_and_in_prose(spark):
+    import textwrap
+
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and "NONINFRINGEMENT" in t)
+    apache = next(t for n, t in licences.TEMPLATES if n == "Apache-2.0" and "AS IS" in t)
+    wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(apache, 60))
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + textwrap.fill(mit, 80),
+        f"/*\n * Copyright 2020 Somebody\n{wrapped}\n */\nint main() {{ return 0; }}\n" + "more text here " * 200,
+        "some words before it. This work is licensed under the GNU General Public License, version 3. And words after it " * 2,
+        "the software and the rights to use of the work " * 100,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["licence"]): (r["dice"], r["n_passages"]) for r in licences.scan(frame).collect()}
+    assert got == {(0, "MIT"): (1.0, 1), (1, "Apache-2.0"): (1.0, 1), (2, "GPL-3.0"): (1.0, 2)}

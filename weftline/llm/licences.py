@@ -1,18 +1,21 @@
 """Licence scans (operator 10): Dice coefficient over word bigrams against licence templates.
 
-A document's whole normalised text and each of its lines are compared with every template whose bigram count can reach
-the threshold: Dice >= t needs t / (2 - t) <= |a| / |b| <= (2 - t) / t, so a sorted list of template sizes is cut to
-that range first. Bigrams are counted as multisets.
-
-Defined results: a null or empty text, or one of fewer than two words, matches nothing; ties go to the first template by
-name; repeated documents each report; an empty table gives an empty result; extra columns are not read.
+Every run of a document's words, across lines, is compared with every template. Dice >= t needs the bigrams in common
+to be t / (2 - t) of the template's at least and the run to have (2 - t) / t times as many bigrams at most. The best run
+begins and ends with a bigram of the template, so only such runs are tried, and only where enough of these bigrams
+stand near each other. Of runs that overlap the best one is kept: a passage states one licence. Bigrams are counted as
+multisets.
+
+Defined results: a null or empty text, or one of fewer than two words, matches nothing; ties go to the longer template,
+then to the first by name; repeated documents each report; an empty table gives an empty result; extra columns are not
+read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 import regex
@@ -45,6 +48,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Full texts.
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 ]
 
 
@@ -61,39 +70,60 @@ def dice(a: Counter, b: Counter) -> float:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
     """A row for each document and licence that is the best one of a passage and reaches the threshold: doc_id, licence, dice (best), n_passages."""
     tune(docs.sparkSession)
-    known = sorted(((bigrams(t), name) for name, t in templates or TEMPLATES), key=lambda x: x[0].total())
-    sizes = [g.total() for g, _ in known]
-    anchors = frozenset(k for g, _ in known for k in g)
+    known = [(g, name) for t, name in sorted((t, name) for name, t in templates or TEMPLATES) if (g := bigrams(t))]
+    holders: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, (g, _) in enumerate(known):
+        for k in g:
+            holders[k].append(i)
+    holders = dict(holders)
+
+    def found(text: str) -> list[tuple[str, float]]:
+        """(licence, dice) of the passages of a text, none of which overlap."""
+        words = _WORDS.findall(text.lower())
+        hits: dict[int, list[tuple[int, tuple[str, str]]]] = defaultdict(list)
+        for at, k in enumerate(zip(words[:-1], words[1:], strict=True)):
+            if k in holders:
+                for i in holders[k]:
+                    hits[i].append((at, k))
+        runs = []
+        for i, mine in hits.items():
+            g, name = known[i]
+            size = g.total()
+            need, most = size * least / (2 - least) - 1e-9, size * (2 - least) / least + 1e-9
+            if len(mine) < need or (Counter(k for _, k in mine) & g).total() < need:
+                continue
+            ahead = max(0, ceil(need) - 1)
+            for a in range(len(mine) - ahead):
+                start = mine[a][0]
+                if mine[a + ahead][0] - start + 1 > most:
+                    continue
+                left, common, best = dict(g), 0, (0.0, 0)
+                for at, k in mine[a:]:
+                    n = at - start + 1
+                    if n > most:
+                        break
+                    if left[k]:
+                        left[k] -= 1
+                        common += 1
+                        best = max(best, (2 * common / (n + size), at))
+                if best[0] >= least:
+                    runs.append((-best[0], -size, name, start, best[1]))
+        kept: list[tuple[int, int]] = []
+        out = []
+        for d, _, name, start, end in sorted(runs):
+            if all(end < a or start > b for a, b in kept):
+                kept.append((start, end))
+                out.append((name, -d))
+        return out
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = bisect_left(sizes, 1), (2 - least) / least
-        seen: dict[str, tuple[tuple[str, float], ...]] = {}
-
-        def found(passage: str) -> tuple[tuple[str, float], ...]:
-            if passage not in seen:
-                if len(seen) > 20_000:
-                    seen.clear()
-                a, best = bigrams(passage), {}
-                if not anchors.isdisjoint(a):
-                    for g, name in known[max(low, bisect_left(sizes, a.total() / high - 1e-9)) : bisect_right(sizes, a.total() * high + 1e-9)]:
-                        if (d := dice(a, g)) >= least and d > best.get(name, 0):
-                            best[name] = d
-                seen[passage] = tuple(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:1])  # a passage states one licence
-            return seen[passage]
-
-        longest = sizes[-1] * high + 1 if sizes else 0
         for batch in batches:
             out = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best: dict[str, list] = {}
-                lines = t.split("\n")
-                for passage in [*lines, *([t] if len(lines) > 1 else [])]:
-                    # a passage of more words than the size bound lets any template have is not tallied
-                    if len(passage) > 2 * longest and len(_WORDS.findall(passage)) > longest + 1:
-                        continue
-                    for name, x in found(passage):
-                            row = best.setdefault(name, [0.0, 0])
-                            row[0], row[1] = max(row[0], x), row[1] + 1
+                for name, x in found(t):
+                    row = best.setdefault(name, [0.0, 0])
+                    row[0], row[1] = max(row[0], x), row[1] + 1
                 out += [(d, name, round(x, 6), hits) for name, (x, hits) in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.float64(), pa.int32()))], names=["doc_id", "licence", "dice", "n_passages"])
 
