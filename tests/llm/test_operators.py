@@ -331,3 +331,9 @@ def test_licences_across_lines_and_in_prose(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], r["licence"]): (r["dice"], r["n_passages"]) for r in licences.scan(frame).collect()}
     assert got == {(0, "MIT"): (1.0, 1), (1, "Apache-2.0"): (1.0, 1), (2, "GPL-3.0"): (1.0, 2)}
+
+
+def test_line_dedup_tells_repeated_ids_apart(spark):
+    rows = [(0, "a\nb\nc"), (1, "p\na\nb\nc"), (1, "q\nr\ns\nt\nu"), (1, "v\nw"), (2, "p\na\nb\nc")]
+    done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, done)) == [(0, "a\nb\nc"), (1, "p"), (1, "q\nr\ns\nt\nu"), (1, "v\nw"), (2, "")]

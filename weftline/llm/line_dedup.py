@@ -49,18 +49,19 @@ def winnow(keys: list[int], run: int) -> list[tuple[int, int]]:
 def _fingerprints(run: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mark, ids, places, runs = [], [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            mark, ids, copies, places, runs = [], [], [], [], []
+            for d, text, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 _, keys = keyed(text)
                 n = min(run, len(keys))
                 for p, s in winnow(keys, run):
                     # the run to both sides of its fingerprint, so that an equal key means an equal run
                     mark.append(keys[p])
                     ids.append(d)
+                    copies.append(c)
                     places.append(s)
                     runs.append(np.array(keys[s : s + n], dtype="<u8").tobytes())
             signed = np.array(mark, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(runs, pa.binary())], names=["mark", "doc_id", "place", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(places, pa.int32()), pa.array(runs, pa.binary())], names=["mark", "doc_id", "copy", "place", "run"])
 
     return over
 
@@ -91,18 +92,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
     """docs with the text that is left, and n_removed lines in _removed."""
     spark = docs.sparkSession
     tune(spark)
-    rows = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marks = stage(rows.mapInArrow(_fingerprints(run), "mark long, doc_id long, place int, run binary"), "fingerprints")
+    rows = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("copy"))
+    marks = stage(rows.mapInArrow(_fingerprints(run), "mark long, doc_id long, copy long, place int, run binary"), "fingerprints")
     twice = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     likely = marks.join(twice, "mark")
-    first = likely.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    later = likely.join(first, "run").where(F.struct("doc_id", "place") != F.col("first")).groupBy("doc_id").agg(F.collect_set("place").alias("_later"))
+    first = likely.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "place")).alias("first")).where("n > 1")
+    later = likely.join(first, "run").where(F.struct("doc_id", "copy", "place") != F.col("first")).groupBy("doc_id", "copy").agg(F.collect_set("place").alias("_later"))
     later = stage(later, "later")
     others = [F.col(c) for c in docs.columns if c != text]
     cleaned = (
-        docs.select(*others, F.col(text).cast("string").alias("_text"), F.col(doc_id).cast("long").alias("_id"))
-        .join(later.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), "_id", "left")
-        .drop("_id")
+        docs.select(*others, F.col(text).cast("string").alias("_text"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_copy"))
+        .join(later.withColumnsRenamed({"doc_id": "_id", "copy": "_copy"}).hint("shuffle_hash"), ["_id", "_copy"], "left")
+        .drop("_id", "_copy")
     )
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "_kept string, _removed long"])
     return cleaned.mapInArrow(_rewrite(run), shape).select(*(F.col("_kept").alias(text) if c == text else F.col(c) for c in docs.columns), "_removed")
