@@ -188,22 +188,68 @@ def test_line_dedup(docs, empty, spark):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_against_all_runs(spark):
+def plain_line_dedup(rows, run, long):
+    """The texts that are left: every earlier place is compared with every later one, line by line, to both sides."""
+    docs = []
+    for d, t in sorted(rows):
+        lines = (t or "").split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip(line_dedup.BLANKS)]
+        docs.append((d, lines, at, [lines[i].strip(line_dedup.BLANKS) for i in at]))
+    words = lambda xs: sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in xs)
+    out = {}
+    for y, (d, lines, at, mine) in enumerate(docs):
+        gone = set()
+        for x in range(y + 1):
+            theirs = docs[x][3]
+            for i in range(len(mine)):
+                for j in range(i if x == y else len(theirs)):
+                    if mine[i] != theirs[j] or (i and j and mine[i - 1] == theirs[j - 1]):
+                        continue
+                    n = 1
+                    while i + n < len(mine) and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
+                        n += 1
+                    whole = n == len(mine) == len(theirs) and x < y
+                    if n >= run or words(mine[i : i + n]) >= long or whole:
+                        gone |= set(at[i : i + n])
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_dedup_against_all_pairs_of_places(spark):
+    """Runs of 3 lines or more, and of one or two that hold 50 words; the plain version extends every pair of places both ways."""
     rng = random.Random(9)
+    long = [prose(rng, n) for n in (20, 30, 49, 50, 55)]
     texts = ["\n".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 14))) for _ in range(60)]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    seen, want = set(), {}
-    for d, t in enumerate(texts):
-        lines = t.split("\n")
-        at = [i for i, x in enumerate(lines) if x.strip()]
-        n, gone = min(line_dedup.RUN, len(at)), set()
-        for s in range(len(at) - n + 1 if at else 0):
-            run = tuple(lines[i] for i in at[s : s + n])
-            if run in seen:
-                gone |= set(at[s : s + n])
-            seen.add(run)
-        want[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()} == want
+    texts += ["\n".join(rng.choice([*long, "a", "b", "  ", *(f"own {rng.random()}" for _ in range(4))]) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == plain_line_dedup(list(enumerate(texts)), line_dedup.RUN, line_dedup.LONG)
+
+
+def test_winnowing_picks_window_minima():
+    rng = random.Random(4)
+    for n in range(12):
+        keys = [bytes([rng.randrange(3)] * 8 + [rng.randrange(256)] * 8) for _ in range(n)]
+        words = np.array([rng.randrange(40) for _ in range(n)], dtype=np.int64)
+        want = {}
+        for size in (1, 2, 3):
+            for s in range(n - size + 1):
+                if size == min(3, n) or words[s : s + size].sum() >= 50:
+                    least = min(keys[s : s + size], key=lambda k: k[:8])[:8]
+                    want.setdefault(max(i for i in range(s, s + size) if keys[i][:8] == least), set()).add((s, size))
+        assert {p: set(x) for p, x in line_dedup.winnow(words, keys, 3, 50).items()} == want
+
+
+def test_line_dedup_odd_rows(spark):
+    """Null ids, a hot line, texts of many lines, clashing column names."""
+    names = "id copy row text later kept removed mark run _removed reach".split()
+    shape = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names if n != "text") + ", `a.b` int"
+    texts = [(None, "a\nb\nc"), (5, "a\nb\nc\nhot"), (6, "hot\n" * 500), (7, "\n".join(f"line {i}" for i in range(70_000))), (8, "x\nline 4\nline 5\nline 6\ny"), (None, None)]
+    frame = spark.createDataFrame([(d, t, *names[1:], 1) for d, t in texts], shape)
+    done = line_dedup.dedup_lines(frame)
+    assert done.columns == [*frame.columns, "__removed"]
+    got = {(r["doc_id"], r["text"][:12] if r["text"] else r["text"], r["__removed"]) for r in done.collect()}
+    assert got == {(None, "", 3), (5, "a\nb\nc\nhot", 0), (6, "hot\nhot\nhot\n"[:4], 499), (7, "line 0\nline ", 0), (8, "x\ny", 3), (None, None, 0)}
 
 
 def edit_distance_in(pattern, text):

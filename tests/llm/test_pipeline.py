@@ -35,24 +35,27 @@ def test_language_rejects_only_what_it_cannot_name(kept):
 
 
 def test_lines_against_all_runs(kept):
+    """A run of 3 lines, of fewer that hold 50 words, or of all lines of a short document, is deleted where it came before."""
     before, after = kept[1]
     seen, want = set(), {}
     for r in before.orderBy("doc_id").collect():
         lines = (r["text"] or "").split("\n")
         at = [i for i, x in enumerate(lines) if x.strip(line_dedup.BLANKS)]
-        n, gone = min(line_dedup.RUN, len(at)), set()
-        for s in range(len(at) - n + 1 if at else 0):
-            run = tuple(lines[i].strip(line_dedup.BLANKS) for i in at[s : s + n])
-            if run in seen:
-                gone |= set(at[s : s + n])
-            seen.add(run)
+        text, gone = [lines[i].strip(line_dedup.BLANKS) for i in at], set()
+        for n in range(1, min(line_dedup.RUN, len(at)) + 1):
+            for s in range(len(at) - n + 1):
+                run = tuple(text[s : s + n])
+                if n == min(line_dedup.RUN, len(at)) or len(" ".join(run).encode().split()) >= line_dedup.LONG:
+                    if run in seen:
+                        gone |= set(at[s : s + n])
+                    seen.add(run)
         want[r["doc_id"]] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     assert {r["doc_id"]: r["text"] for r in after.collect()} == want
 
 
 def test_one_of_each_group_stays(kept):
     before, after = kept[2]
-    groups = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(before).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(before, percent=corpus_pipeline.NEAR_PERCENT).collect()}
     assert {r["doc_id"] for r in after.select("doc_id").collect()} == {d for d, c in groups.items() if d == c}
 
 

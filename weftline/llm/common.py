@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that an Arrow batch of whole texts may hold (documents of a megabyte still fit a worker).
@@ -18,10 +19,13 @@ KERNEL_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset; it gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="weftline-")  # one machine is all there is
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -44,11 +48,24 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that carry whole texts."""
+    """Bounds the rows of Arrow batches that carry whole texts; Spark bounds their bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def held(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row as one struct `row`, beside own columns: nothing in a table can clash with these."""
+    return docs.select(F.struct("*").alias("row"), *(v.alias(k) for k, v in keys.items()))
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """name, with as many underscores before it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

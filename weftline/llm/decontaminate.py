@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import tune
+from weftline.llm.common import held, tune
 
 BUDGET = 0.05
 BLOCK_CHARS = 4_000_000
+#: Characters of text whose distances a task remembers.
+KNOWN_CHARS = 20_000_000
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -70,64 +72,98 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     tune(spark)
     rows = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     shape = "doc_id long, item_id long, distance int, budget int"
-    found, block, size = [], [], 0
+    found = [rows.mapInArrow(_matches(block, budget), shape) for block in blocks(items, item_id, item_text)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape)
+
+
+def blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The test items, normalised, in lists of BLOCK_CHARS characters or one item more."""
+    block, size = [], 0
     tests = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), F.col(item_text).cast("string"))
     for item, raw in tests.toLocalIterator():
         t = normal(raw)
         if t and size and size + len(t) > BLOCK_CHARS:
-            found.append(rows.mapInArrow(_search(block, budget), shape))
+            yield block
             block, size = [], 0
         if t:
             block.append((item, t))
             size += len(t)
     if block:
-        found.append(rows.mapInArrow(_search(block, budget), shape))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape)
+        yield block
 
 
-def _search(block: list[tuple[int, str]], budget: float):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Search:
+    """An automaton over the pieces of a block of items, and distances that were found before, KNOWN_CHARS characters at most."""
+
+    def __init__(self, block: list[tuple[int, str]], budget: float) -> None:
         import ahocorasick
 
-        tree, at = ahocorasick.Automaton(), {}
+        at: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(block):
             for start, piece in pieces(item, budget):
                 at.setdefault(piece, []).append((k, start))
+        self.tree = ahocorasick.Automaton()
         for piece, where in at.items():
-            tree.add_word(piece, (len(piece), where))
-        tree.make_automaton()
-        known: dict[tuple[int, str], int | None] = {}
+            self.tree.add_word(piece, (len(piece), where))
+        self.tree.make_automaton()
+        self.block, self.budget = block, budget
+        self.known: dict[tuple[int, str], int | None] = {}
+        self.size = 0
+
+    def distance(self, k: int, near: str, most: int) -> int | None:
+        if (k, near) not in self.known:
+            if self.size + len(near) > KNOWN_CHARS:
+                self.known.clear()
+                self.size = 0
+            item = self.block[k][1]
+            self.known[k, near] = 0 if item in near else least_distance(item, near, most)
+            self.size += len(near)
+        return self.known[k, near]
+
+    def found(self, raw: str | None) -> Iterator[tuple[int, int, int]]:
+        """(item_id, distance, edits allowed) of the items that a text holds."""
+        t = normal(raw)
+        spots: dict[int, set[int]] = {}
+        for end, (n, where) in self.tree.iter(t):
+            for k, start in where:
+                spots.setdefault(k, set()).add(end + 1 - n - start)
+        for k, begins in spots.items():
+            item_id, item = self.block[k]
+            most, best = int(len(item) * self.budget), None
+            reach = -1
+            for b in sorted(begins):  # places that one stretch of text covers are verified together
+                if b <= reach:
+                    continue
+                reach = b + most
+                got = self.distance(k, t[max(0, b - most) : reach + len(item) + most], most)
+                best = got if best is None else best if got is None else min(best, got)
+            if best is not None:
+                yield item_id, best, most
+
+
+def _matches(block: list[tuple[int, str]], budget: float):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(block, budget)
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = normal(raw)
-                spots: dict[int, set[int]] = {}
-                for end, (n, where) in tree.iter(t):
-                    for k, start in where:
-                        spots.setdefault(k, set()).add(end + 1 - n - start)
-                for k, begins in spots.items():
-                    item = block[k][1]
-                    most, best = int(len(item) * budget), None
-                    reach = -1
-                    for b in sorted(begins):  # places that one stretch of text covers are verified together
-                        if b <= reach:
-                            continue
-                        reach = b + most
-                        near = t[max(0, b - most) : reach + len(item) + most]
-                        if (k, near) not in known:
-                            if len(known) > 50_000:
-                                known.clear()
-                            known[k, near] = 0 if item in near else least_distance(item, near, most)
-                        got = known[k, near]
-                        best = got if best is None else best if got is None else min(best, got)
-                    if best is not None:
-                        out.append((d, block[k][0], best, most))
+            out = [(d, *x) for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in search.found(raw)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "distance", "budget"])
 
     return over
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    dirty = matches(docs, items).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty.hint("shuffle_hash"), docs["doc_id"] == F.col("_dirty"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET) -> DataFrame:
+    """The rows whose text holds no test item, with all their columns; each row is judged by its own text, whatever its id."""
+    tune(docs.sparkSession)
+    rows = held(docs, text=F.col(text).cast("string"))
+    for block in blocks(items, item_id, item_text):
+        rows = rows.mapInArrow(_clean(block, budget), rows.schema)
+    return rows.select("row.*")
+
+
+def _clean(block: list[tuple[int, str]], budget: float):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(block, budget)
+        for batch in batches:
+            yield batch.filter(pa.array([next(search.found(t), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return over

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from weftline.llm.common import tune
+from weftline.llm.common import held, tune
 
 #: Documents of each language that a model is fitted on, at most about this many.
 SAMPLE_ROWS = 3000
@@ -34,6 +35,16 @@ ORDERS = (4, 3, 2, 1)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def words(text: str) -> Counter:
+    """The text's runs of letters, lower-cased, and how often each stands there. The pattern takes numerals that are no decimal digits too; they part words."""
+    found = Counter(_WORDS.findall(text.lower()))
+    for w in [w for w in found if not w.isascii() and not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
+
+
 #: Words whose scores a worker remembers.
 REMEMBERED = 400_000
 
@@ -65,11 +76,11 @@ class Model:
         return i
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_WORDS.findall(text.lower())) if text else None
-        if not words or not self.languages:
+        found = words(text) if text else None
+        if not found or not self.languages:
             return "und", 0.0
         total = np.zeros(len(self.languages))
-        kinds, counts = list(words), np.fromiter(words.values(), dtype=np.float64, count=len(words))
+        kinds, counts = list(found), np.fromiter(found.values(), dtype=np.float64, count=len(found))
         for a in range(0, len(kinds), REMEMBERED):  # a text of more kinds of words is scored in parts
             part = kinds[a : a + REMEMBERED]
             if len(self.cache) + len(part) > REMEMBERED:
@@ -85,7 +96,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w, n in Counter(_WORDS.findall(text.lower())).items():
+            for w, n in words(text).items():
                 seen[lang, "w:" + w] += n
                 marked = f"<{w}>"
                 for k in ORDERS:
@@ -140,6 +151,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(over, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows whose text has a language with a score of `least` or more, with all their columns; each row is judged by its own text."""
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            found = [m.score(t) for t in batch.column("text").to_pylist()]
+            yield batch.select(["row"]).filter(pa.array([g != "und" and p >= least for g, p in found], pa.bool_()))
+
+    rows = held(docs, text=F.col(text).cast("string"))
+    return rows.mapInArrow(over, StructType([rows.schema["row"]])).select("row.*")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     found = predict(docs, fit(docs))

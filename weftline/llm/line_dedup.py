@@ -1,14 +1,22 @@
 """Line dedup (operator 6): winnowing over line hashes, joined positions, matches extended both ways, later runs deleted.
 
-A line's key is the hash of its text without blanks at its ends; blank lines have none. A run is `run` consecutive
-keyed lines. In each document a window of `run` keys has its least key (the rightmost of equals) as fingerprint, so a
-repeated run always meets its copy at a fingerprint. Fingerprints seen twice are extended both ways to the runs that
-they stand for, and a run that occurred before, in (doc_id, line) order, is later: all its lines are deleted. A document
-with fewer keyed lines than `run` is one run of all its lines.
-
-Defined results: a null or blank text has no runs and stays as it is; of equal documents the first stays whole; a
-document of which all lines go keeps an empty text; repeated doc_ids are told apart by text hash and share deletions only
-if their texts are equal; an empty table gives an empty result; extra columns pass through.
+A line's key is the 128-bit hash of its text without blanks at its ends; blank lines have none. A match counts where two
+places agree in `run` consecutive keyed lines, or in fewer lines that hold `long` words; a document of fewer keyed lines
+than `run` is also compared as a whole with others of that kind.
+
+1. Winnowing: of every such window of a document the least key, the rightmost of equals, is a fingerprint. Equal windows
+   have equal minima at equal places, so no match is without a fingerprint. There is one row for each place picked.
+2. Positions are joined on the fingerprint: those whose key stands nowhere else are gone.
+3. Each position left is extended line by line to both sides, over the windows that it is the least of, and each such
+   window is given the first position in (doc_id, line) order that agrees with it all the way. Windows that lie further
+   off have fingerprints of their own, so a match of any length is followed from one fingerprint to the next; no two
+   positions are paired, and a very frequent line costs as many rows as it has positions.
+4. Where a window came before, its lines belong to a later run; what overlaps makes one maximal run, which is deleted.
+
+Defined results: a null or blank text has no lines with a key and stays as it is; of equal documents the first stays
+whole; a document of which all lines go keeps an empty text; a null doc_id comes after all others; repeated doc_ids are
+told apart by text hash and share deletions only if their texts are equal, so a row that comes twice stays twice; ties
+go to the earlier place; an empty table gives an empty result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,91 +27,102 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from weftline.llm.common import stage, tune
+from weftline.llm.common import held, stage, tune, unused
 
-RUN = 3
+#: Lines, or words in fewer lines, that make a repeated run.
+RUN, LONG = 3, 50
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _hash(x: str) -> int:
-    from xxhash import xxh3_64_intdigest
+def keyed(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(numbers, word counts, keys) of the lines of text that aren't blank."""
+    from xxhash import xxh3_128_digest
 
-    return xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+    rows = [(i, b) for i, x in enumerate(text.split("\n")) if (b := x.strip(BLANKS).encode("utf-8", "surrogatepass"))]
+    return np.array([i for i, _ in rows], dtype=np.int32), np.array([len(b.split()) for _, b in rows], dtype=np.int64), [xxh3_128_digest(b) for _, b in rows]
 
 
-def keyed(text: str) -> tuple[list[int], list[int]]:
-    """(line numbers, keys) of the lines of text that aren't blank."""
-    rows = [(i, _hash(s)) for i, x in enumerate(text.split("\n")) if (s := x.strip(BLANKS))]
-    return [i for i, _ in rows], [k for _, k in rows]
+def windows(words: np.ndarray, run: int, long: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(lines, starts) of the windows of a document: all of `run` lines, shorter ones of `long` words, or the whole of a short document."""
+    n, before = len(words), np.concatenate([[0], np.cumsum(words)])
+    for size in range(1, min(run, n) + 1):
+        starts = np.arange(n - size + 1)
+        yield size, starts if size == min(run, n) else starts[before[size:] - before[:-size] >= long]
 
 
-def winnow(keys: list[int], run: int) -> list[tuple[int, int]]:
-    """(place of the fingerprint, start of the run) for every run of the document."""
-    if not keys:
-        return []
-    n = min(run, len(keys))
-    return [(max(range(s, s + n), key=lambda i: (-keys[i], i)), s) for s in range(len(keys) - n + 1)]
+def winnow(words: np.ndarray, keys: list[bytes], run: int, long: int) -> dict[int, list[tuple[int, int]]]:
+    """Fingerprints: the places that are the least of a window, each with the windows (start, lines) to which it extends."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    if keys:
+        marks = np.frombuffer(b"".join(keys), dtype="<u8")[::2]
+        for size, starts in windows(words, run, long):
+            if len(starts):
+                around = marks[starts[:, None] + np.arange(size - 1, -1, -1)]
+                for place, start in zip((starts + size - 1 - around.argmin(axis=1)).tolist(), starts.tolist(), strict=True):
+                    out.setdefault(place, []).append((start, size))
+    return out
 
 
-def _fingerprints(run: int):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mark, ids, copies, places, runs = [], [], [], [], []
-            for d, text, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, keys = keyed(text)
-                n = min(run, len(keys))
-                for p, s in winnow(keys, run):
-                    # the run to both sides of its fingerprint, so that an equal key means an equal run
-                    mark.append(keys[p])
-                    ids.append(d)
-                    copies.append(c)
-                    places.append(s)
-                    runs.append(np.array(keys[s : s + n], dtype="<u8").tobytes())
-            signed = np.array(mark, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(places, pa.int32()), pa.array(runs, pa.binary())], names=["mark", "doc_id", "copy", "place", "run"])
+_REACH = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("run", pa.binary())]))
 
-    return over
 
-
-def _rewrite(run: int):
+def _fingerprints(run: int, long: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            names = batch.schema.names
-            texts, later = batch.column("_text").to_pylist(), batch.column("_later").to_pylist()
-            kept, removed = [], []
-            for text, starts in zip(texts, later, strict=True):
-                if not text or not starts:
-                    kept.append(text)
-                    removed.append(0)
-                    continue
-                at, keys = keyed(text)
-                n = min(run, len(keys))
-                gone = {at[i] for s in starts for i in range(s, s + n)}
-                kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
-                removed.append(len(gone))
-            cols = [batch.column(c) for c in names if c not in ("_text", "_later")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(removed, pa.int64())], names=[*(c for c in names if c not in ("_text", "_later")), "_kept", "_removed"])
+            mark, ids, copies, places, reach = [], [], [], [], []
+            for d, c, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                _, words, keys = keyed(text)
+                for p, mine in winnow(words, keys, run, long).items():
+                    mark.append(keys[p][:8])
+                    ids.append(d)
+                    copies.append(c)
+                    places.append(p)
+                    reach.append([{"start": s, "n": n, "run": xxh3_128_digest(b"".join(keys[s : s + n]))} for s, n in mine])
+            signed = np.frombuffer(b"".join(mark), dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(places, pa.int32()), pa.array(reach, _REACH)], names=["mark", "id", "copy", "place", "reach"])
 
     return over
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN) -> DataFrame:
-    """docs with the text that is left, and n_removed lines in _removed."""
-    spark = docs.sparkSession
-    tune(spark)
-    rows = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("copy"))
-    marks = stage(rows.mapInArrow(_fingerprints(run), "mark long, doc_id long, copy long, place int, run binary"), "fingerprints")
-    twice = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    likely = marks.join(twice, "mark")
-    first = likely.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "place")).alias("first")).where("n > 1")
-    later = likely.join(first, "run").where(F.struct("doc_id", "copy", "place") != F.col("first")).groupBy("doc_id", "copy").agg(F.collect_set("place").alias("_later"))
-    later = stage(later, "later")
-    others = [F.col(c) for c in docs.columns if c != text]
-    cleaned = (
-        docs.select(*others, F.col(text).cast("string").alias("_text"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_copy"))
-        .join(later.withColumnsRenamed({"doc_id": "_id", "copy": "_copy"}).hint("shuffle_hash"), ["_id", "_copy"], "left")
-        .drop("_id", "_copy")
-    )
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "_kept string, _removed long"])
-    return cleaned.mapInArrow(_rewrite(run), shape).select(*(F.col("_kept").alias(text) if c == text else F.col(c) for c in docs.columns), "_removed")
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deletes the later runs: (row, kept, removed)."""
+    for batch in batches:
+        kept, removed = [], []
+        for text, later in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True):
+            if not later:
+                kept.append(text)
+                removed.append(0)
+                continue
+            at = keyed(text)[0]
+            gone = {int(at[i]) for x in later for i in range(x["start"], x["start"] + x["n"])}
+            kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
+            removed.append(len(gone))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(removed, pa.int64())], names=["row", "kept", "removed"])
+
+
+def later_runs(rows: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """rows(id, copy, text) -> (id, copy, later): the windows (start, n), counted in keyed lines, that came before."""
+    marks = rows.where(F.length("text") > 0).select("id", "copy", "text").mapInArrow(_fingerprints(run, long), "mark long, id long, copy long, place int, reach array<struct<start: int, n: int, run: binary>>")
+    marks = stage(marks, "fingerprints")
+    # Written before they are joined: both sides are then plain shuffles, so that a hot key's side can be split.
+    twice = stage(marks.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark"), "twice")
+    extended = stage(marks.join(twice.hint("shuffle_hash"), "mark").select("id", "copy", F.inline("reach")), "extended")
+    first = extended.groupBy("run").agg(F.count("*").alias("times"), F.min(F.struct("id", "copy", "start")).alias("first"))
+    first = stage(first.where("times > 1").select("run", "first"), "first")
+    later = extended.join(first.hint("shuffle_hash"), "run").where(F.struct("id", "copy", "start") != F.col("first"))
+    return later.groupBy("id", "copy").agg(F.collect_set(F.struct("start", "n")).alias("later"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run: int = RUN, long: int = LONG) -> DataFrame:
+    """docs with the text that is left, and the number of lines deleted in `_removed` (a name that docs hasn't got)."""
+    tune(docs.sparkSession)
+    last = F.lit((1 << 63) - 1)
+    rows = held(docs, id=F.coalesce(F.col(doc_id).cast("long"), last), copy=F.xxhash64(F.col(text).cast("string")), text=F.col(text).cast("string"))
+    later = stage(later_runs(rows, run, long), "later")
+    cleaned = rows.join(later.hint("shuffle_hash"), ["id", "copy"], "left").select("row", "text", "later")
+    done = cleaned.mapInArrow(_without, StructType([rows.schema["row"], StructField("kept", StringType()), StructField("removed", LongType())]))
+    return done.select(*(F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns), F.col("removed").alias(unused("_removed", docs.columns)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import encoded, shingle_sets, sliced, stage, tune
+from weftline.llm.common import encoded, held, shingle_sets, sliced, stage, tune
 
 ROWS, BANDS = 4, 28
 #: Documents of a block in which sets are compared.
@@ -221,7 +221,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
-def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents that are the first of their near-duplicate component, with all their columns."""
-    kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
+def keep_first(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents that are the first of their near-duplicate component, with all their columns.
+
+    A document is a doc_id with a text: rows that share a doc_id but not the text are compared and kept apart, equal rows
+    stay or go together. The first is the one of least doc_id; documents with a null, negative or very large doc_id
+    (2**42 or more) come after all others, in the order of a hash."""
+    i, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    low = (1 << 20) - 1
+    packed = F.shiftleft(i, 20) + F.xxhash64(t).bitwiseAND(F.lit(low))
+    beyond = F.lit(1 << 62) + F.xxhash64(i, t).bitwiseAND(F.lit((1 << 62) - 1))
+    rows = held(docs, key=F.when(i.between(0, (1 << 42) - 1), packed).otherwise(beyond), text=t)
+    kept = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), percent=percent).where("kept").select(F.col("doc_id").alias("key"))
+    return rows.join(kept.hint("shuffle_hash"), "key", "left_semi").select("row.*")

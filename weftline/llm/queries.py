@@ -77,13 +77,14 @@ ab AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS doc_id, b AS m FROM ab UNION SELECT r.doc_id, ab.b FROM r JOIN ab ON ab.a = r.m),
 c AS (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m, w.doc_id)) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
-    "op6_line_dedup": """
+    "op6_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM d),
-k AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY doc_id) AS c
+k AS (SELECT *, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER w AS r, count(*) OVER (PARTITION BY doc_id) AS c
       FROM (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l) WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-runs AS (SELECT doc_id, r, least(3, c) AS n, [t, lead(t, 1) OVER w, lead(t, 2) OVER w][1:least(3, c)] AS run, c FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-later AS (SELECT doc_id, r, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, r) AS seen FROM runs WHERE r <= c - n + 1) WHERE seen > 1),
+a AS (SELECT doc_id, r, c, [t, lead(t, 1) OVER w, lead(t, 2) OVER w] AS t, [words, lead(words, 1) OVER w, lead(words, 2) OVER w] AS words FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, r, n, t[1:n] AS run FROM a, (VALUES (1), (2), (3)) v(n) WHERE r <= c - n + 1 AND (n = least(3, c) OR list_sum(words[1:n]) >= 50)),
+later AS (SELECT doc_id, r, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, r) AS seen FROM runs) WHERE seen > 1),
 gone AS (SELECT DISTINCT k.doc_id, k.i FROM k JOIN (SELECT doc_id, unnest(range(r, r + n)) AS r FROM later) USING (doc_id, r)),
 kept AS (SELECT doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text FROM l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_removed, 0) AS n_removed, length(kept.text) AS n_chars_left, sha256(kept.text) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)""",
