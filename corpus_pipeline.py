@@ -17,24 +17,31 @@ NEAR_PERCENT = 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.predict(docs, language.fit(docs)).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE))
-    rejected = found.select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected.hint("shuffle_hash"), docs["doc_id"] == F.col("_rejected"), "left_anti")
+    """Language ID, each row by its own text: one without letters, or of no clear language, goes. Nothing is learned from rows
+    with a null text or lang; without any labelled row all go. Equal rows share a fate; an empty table stays empty."""
+    return language.accepted(docs, language.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).drop("_removed").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Line dedup: texts lose later repeated runs of lines, n_chars follows; no row goes. Null and blank texts stay as they
+    are, rows with a null doc_id come last in order, repeated doc_ids are told apart by their texts."""
+    done = line_dedup.dedup_lines(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-dedup: the first document of each group stays, in the order of doc_id; documents without words stay, and so do
+    rows that are equal to one that stays in doc_id and text."""
     return minhash.keep_first(docs, percent=NEAR_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Decontamination, each row by its own text: one that holds a benchmark item goes. Null and empty texts hold none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the digests of all pieces; a null text is an empty document, a null source a queue of its own."""
     return packing.digests(packing.pack(docs))
 
 
