@@ -331,15 +331,60 @@ def test_masked_lm(spark, docs, empty, monkeypatch):
     assert language_model.score(empty).count() == 0
     rng = np.random.default_rng(0)
     net = language_model.start(rng.integers(1, 50, language_model.PAD).astype(float))
-    sides = np.tile(rng.integers(0, language_model.PAD, (1, 4)), (language_model.PAD, 1)).astype(np.int32)
-    chances = language_model.log_chances(net, sides, np.arange(language_model.PAD, dtype=np.int32))
+    l2, l1, r1, r2 = rng.integers(0, language_model.PAD, 4)
+    docs = [np.array([l2, l1, x, r1, r2]) for x in range(language_model.PAD)]
+    chances = language_model.log_chances(net, language_model.stream(docs)).reshape(-1, 5)[:, 2]
     assert np.exp(chances.astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
-    text = np.tile(np.array([5, 9, 200, 7, 31], dtype=np.int32), 400)
-    sides, tokens, _ = language_model.contexts([text])
-    before = language_model.log_chances(net, sides, tokens).mean()
+    text = language_model.stream([np.array([5, 9, 200, 7, 31] * 400)])
+    before = language_model.log_chances(net, text).mean()
     for _ in range(30):
-        language_model.log_chances(net, sides, tokens, 0.5)
-    assert language_model.log_chances(net, sides, tokens).mean() > before + 1
+        language_model.log_chances(net, text, 0.5)
+    assert language_model.log_chances(net, text).mean() > before + 1
+
+
+def test_masked_lm_slopes():
+    """A step's change of each part of the network points down the slope that finite differences give."""
+    rng = np.random.default_rng(3)
+    net = {k: v.astype(np.float64) for k, v in language_model.start(rng.integers(1, 9, language_model.PAD).astype(float)).items()}
+    docs = [rng.integers(0, language_model.PAD, n) for n in (7, 1, 12)]
+    part = language_model.stream(docs)
+    loss = lambda: -language_model.log_chances(net, part).astype(np.float64).sum()
+    stepped = {k: v.copy() for k, v in net.items()}
+    language_model.log_chances(stepped, part, 1e-3)
+    for name, _ in language_model._PARTS:
+        moved = np.argwhere(stepped[name] != net[name])
+        for at in map(tuple, moved[rng.permutation(len(moved))[:5]]):
+            was, eps = net[name][at], 1e-2
+            net[name][at] = was + eps
+            up = loss()
+            net[name][at] = was - eps
+            slope = (up - loss()) / (2 * eps)
+            net[name][at] = was
+            assert abs(slope) < 2e-3 or np.sign(slope) == -np.sign(stepped[name][at] - was)
+
+
+def test_parts_of_a_stream_score_as_the_whole():
+    rng = np.random.default_rng(5)
+    net = language_model.start(rng.integers(1, 50, language_model.PAD).astype(float))
+    docs = [rng.integers(0, language_model.PAD, n) for n in (0, 1, 30, 3, 200)]
+    whole = language_model.log_chances(net, language_model.stream(docs))
+    cut = np.concatenate([language_model.log_chances(net, p) for p in language_model.steps(language_model.stream(docs), 7)])
+    assert len(whole) == 234 and np.allclose(whole, cut, atol=1e-5)
+    alone = np.concatenate([language_model.log_chances(net, language_model.stream([d])) for d in docs])
+    assert np.allclose(whole, alone, atol=1e-5)
+
+
+def test_masked_lm_puts_junk_last(spark):
+    """Nonsense below the least twentieth of a corpus, shuffled texts below the same ones in order."""
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    some = [r["text"].split() for r in docs.where("length(text) > 2000").orderBy("doc_id").limit(40).collect()]
+    nonsense = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(200))
+    extra = [(-1, nonsense), *((-2 - i, " ".join(rng.sample(w, len(w)))) for i, w in enumerate(some)), *((-102 - i, " ".join(w)) for i, w in enumerate(some))]
+    got = {r["doc_id"]: r for r in language_model.score(docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))).collect()}
+    known = sorted(r["mean_log_likelihood"] for d, r in got.items() if d >= 0 and r["n_tokens"] > 20)
+    assert got[-1]["mean_log_likelihood"] < known[len(known) // 20]
+    assert sum(got[-2 - i]["mean_log_likelihood"] < got[-102 - i]["mean_log_likelihood"] for i in range(len(some))) >= 38
 
 
 def test_masked_lm_predicts_every_word(spark):

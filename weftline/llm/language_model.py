@@ -1,15 +1,16 @@
 """LM scoring by masked pseudo-likelihood (operator 5): a bidirectional window network in numpy.
 
 Tokens are words, and every word of the corpus is predicted. The network's vocabulary is the corpus's VOCABULARY most
-frequent words, counted over every document, and OTHER hashed classes of all other words by their endings. It embeds
-the RADIUS tokens on either side of the masked place, mixes them in a hidden layer and predicts the token through a
-two-level softmax (class, then word in the class), so each token costs a few thousand operations; a word outside the
-vocabulary has the chance of its hashed class times its share of that class's words, from the table of all words.
+frequent words, counted over every document, and OTHER hashed classes of all other words by their endings. The RADIUS
+tokens on either side of the masked place each add a vector of theirs, one for each side and distance, to a hidden
+layer, which predicts the token through a two-level softmax (class, then word in the class), so each token costs a few
+thousand operations; a word outside the vocabulary has the chance of its hashed class times its share of that class's
+words, from the table of all words.
 
 Texts are read once, in chunks: a chunk's distinct words are rows of a table, its documents are numbers of these rows.
 The table is counted, joined with its counts, and the documents are rewritten as network tokens. Every block of the
-corpus trains a copy of the network on all of its documents, and the copies are averaged by tokens seen, ROUNDS times;
-what is gathered, words and copies, grows with the corpus.
+corpus trains a copy of the network on all of its documents (Adagrad), and the copies are averaged by tokens seen,
+ROUNDS times; what is gathered, words and copies, grows with the corpus.
 
 Defined results: a null, empty or blank text has no tokens, log-likelihood 0 and null mean; repeated rows each get a
 result; an empty table gives an empty result; extra columns are not read. Blocks follow a hash of doc_id, so results
@@ -31,15 +32,17 @@ from weftline.llm.common import rows_per_partition, stage, tune
 VOCABULARY, OTHER = 4032, 64
 CLASSES = 64  # of CLASSES tokens each: VOCABULARY + OTHER = CLASSES ** 2
 #: A word of the vocabulary is one of so many words of the corpus at least.
-RAREST = 1_000_000
-RADIUS, EMBED, HIDDEN = 2, 16, 32
-ROUNDS, BLOCK_ROWS = 2, 4000
-#: Places scored at a time.
-SCORED = 1 << 12
+RADIUS, HIDDEN = 2, 32
+ROUNDS, BLOCK_ROWS = 1, 4000
+#: Places that one step learns from, or that are scored at a time.
+STEP = 1 << 14
+RATE = 0.15
 #: Words of a chunk, about.
 CHUNK = 1 << 18
 PAD = VOCABULARY + OTHER
-_PARTS = (("embed", (PAD + 1, EMBED)), ("mix", (2 * RADIUS * EMBED, HIDDEN)), ("mix0", (HIDDEN,)), ("head", (HIDDEN, CLASSES)), ("head0", (CLASSES,)), ("tail", (CLASSES, HIDDEN, CLASSES)), ("tail0", (CLASSES, CLASSES)))
+SIDES = tuple(j for j in range(-RADIUS, RADIUS + 1) if j)
+_PARTS = (("table", (PAD + 1, len(SIDES) * HIDDEN)), ("hidden0", (HIDDEN,)), ("head", (HIDDEN, CLASSES)), ("head0", (CLASSES,)), ("tail", (CLASSES, HIDDEN, CLASSES)), ("tail0", (CLASSES, CLASSES)))
+_ONES = np.ones(CLASSES, dtype=np.float32)
 
 
 def words(text: str | None) -> list[str]:
@@ -52,39 +55,63 @@ def start(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     net = {k: (rng.standard_normal(shape) * 0.1).astype(np.float32) for k, shape in _PARTS}
     p = (counts + 1.0) / (counts + 1.0).sum()
     by = p.reshape(CLASSES, CLASSES)
-    net["mix0"][:] = 0
+    net["hidden0"][:] = 0
     net["head0"] = np.log(by.sum(1)).astype(np.float32)
     net["tail0"] = np.log(by / by.sum(1, keepdims=True)).astype(np.float32)
     return net
 
 
-def contexts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows of RADIUS tokens on both sides, masked tokens, documents) of all places."""
-    gap = np.full(RADIUS, PAD, dtype=np.int32)
-    flat = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
-    at = np.concatenate([np.arange(len(d)) + o for d, o in zip(docs, np.cumsum([RADIUS, *(len(d) + RADIUS for d in docs[:-1])]), strict=True)])
-    sides = np.stack([flat[at + j] for j in (*range(-RADIUS, 0), *range(1, RADIUS + 1))], axis=1)
-    return sides, flat[at], np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-
-
-def _soft(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-def log_chances(net: dict, sides: np.ndarray, tokens: np.ndarray, rate: float = 0.0) -> np.ndarray:
-    """log P(token | both sides) at each place; with a rate, one step of gradient descent too. Places are taken class by class."""
-    order = np.argsort((tokens // CLASSES).astype(np.uint8), kind="stable")
-    sides, tokens = sides[order], tokens[order]
-    group, member = tokens // CLASSES, tokens % CLASSES
-    n = len(tokens)
-    x = net["embed"][sides].reshape(n, -1)
-    h = np.tanh(x @ net["mix"] + net["mix0"])
-    head = _soft(h @ net["head"] + net["head0"])
-    out = np.log(np.maximum(head[np.arange(n), group], 1e-30))
-    bounds = np.searchsorted(group, np.arange(CLASSES + 1))
+def stream(docs: list[np.ndarray]) -> np.ndarray:
+    """All tokens in a row, with RADIUS gaps before, between and after the documents."""
+    gap = np.full(RADIUS, PAD, dtype=np.uint16)
+    return np.concatenate([gap, *(x for d in docs for x in (d.astype(np.uint16), gap))])
+
+
+def steps(flat: np.ndarray, most: int = STEP) -> list[np.ndarray]:
+    """A stream in parts of `most` places, each with the RADIUS tokens on either side of it."""
+    return [flat[max(0, i - RADIUS) : i + most + RADIUS] for i in range(RADIUS, len(flat) - RADIUS, most)]
+
+
+def _chances(h: np.ndarray, w: np.ndarray, w0: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax of h w + w0, log of the chance of `of` in each row)."""
+    z = h @ w
+    z += w0
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    z *= (1 / (z @ _ONES))[:, None]
+    return z, np.log(np.maximum(z[np.arange(len(of)), of], 1e-30))
+
+
+def _descend(net: dict, name: str, at, slope: np.ndarray, rate: float) -> None:
+    """One step down `slope` in net[name][at], shorter where slopes were steep before (Adagrad; the table has one memory a row)."""
+    if "steep " + name not in net:
+        net["steep " + name] = np.full((*net[name].shape[:1], 1) if name == "table" else net[name].shape, 1e-8, dtype=np.float32)
+    steep = net["steep " + name]
+    steep[at] += np.square(slope).mean(axis=1, keepdims=True) if name == "table" else np.square(slope)
+    net[name][at] -= rate * slope / np.sqrt(steep[at])
+
+
+def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
+    """log P(token | both sides) at each place of a part of a stream, without its first and last RADIUS tokens and its gaps;
+    with a rate, one step of gradient descent too. Places are taken class by class.
+
+    A token adds a vector of the table to the hidden layer of each place that it stands beside, one for each side and distance."""
+    inner = part[RADIUS : len(part) - RADIUS]
+    at = np.flatnonzero(inner != PAD)
+    n = len(at)
+    if not n:
+        return np.zeros(0, dtype=np.float32)
+    at = at[np.argsort((inner[at] // CLASSES).astype(np.uint8), kind="stable")]
+    group, member = (inner[at] // CLASSES).astype(np.int64), (inner[at] % CLASSES).astype(np.int64)
+    beside = net["table"][part]
+    cut = lambda k: slice(RADIUS + SIDES[k], RADIUS + SIDES[k] + len(inner))
+    col = lambda k: slice(k * HIDDEN, (k + 1) * HIDDEN)
+    h = beside[cut(0), col(0)] + net["hidden0"]
+    for k in range(1, len(SIDES)):
+        h += beside[cut(k), col(k)]
+    h = np.tanh(h[at])
+    head, out = _chances(h, net["head"], net["head0"], group)
+    bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
     dh = None
     if rate:
         head[np.arange(n), group] -= 1
@@ -93,32 +120,31 @@ def log_chances(net: dict, sides: np.ndarray, tokens: np.ndarray, rate: float =
         a, b = bounds[c], bounds[c + 1]
         if a == b:
             continue
-        tail = _soft(h[a:b] @ net["tail"][c] + net["tail0"][c])
-        mine = np.arange(b - a), member[a:b]
-        out[a:b] += np.log(np.maximum(tail[mine], 1e-30))
+        hidden, mine = h[a:b], member[a:b]
+        tail, log_p = _chances(hidden, net["tail"][c], net["tail0"][c], mine)
+        out[a:b] += log_p
         if rate:
-            tail[mine] -= 1
+            tail[np.arange(b - a), mine] -= 1
             dh[a:b] += tail @ net["tail"][c].T
-            net["tail"][c] -= rate / n * (h[a:b].T @ tail) * CLASSES**0.5
-            net["tail0"][c] -= rate / n * tail.sum(0)
+            _descend(net, "tail", c, hidden.T @ tail, rate)
+            _descend(net, "tail0", c, tail.sum(0), rate)
     if rate:
-        net["head"] -= rate / n * (h.T @ head)
-        net["head0"] -= rate / n * head.sum(0)
+        _descend(net, "head", ..., h.T @ head, rate)
+        _descend(net, "head0", ..., head.sum(0), rate)
         dh *= 1 - h * h
-        dx = (dh @ net["mix"].T).reshape(-1, EMBED)
-        net["mix"] -= rate / n * (x.T @ dh)
-        net["mix0"] -= rate / n * dh.sum(0)
-        places = sides.reshape(-1).astype(np.uint16)
-        by = np.argsort(places, kind="stable")
-        places = places[by]
-        firsts = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
-        kinds = places[firsts]
-        step = np.add.reduceat(dx[by], firsts)
-        counts = np.diff([*firsts, len(places)])
-        net["embed"][kinds] -= (rate * 0.2) * step / np.sqrt(counts)[:, None]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+        _descend(net, "hidden0", ..., dh.sum(0), rate)
+        back = np.zeros((len(inner), HIDDEN), dtype=np.float32)
+        back[at] = dh
+        beside[:] = 0
+        for k in range(len(SIDES)):
+            beside[cut(k), col(k)] = back
+        by = np.argsort(part, kind="stable")
+        sorted_ = part[by]
+        firsts = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
+        _descend(net, "table", sorted_[firsts], np.add.reduceat(beside[by], firsts), rate)
+    places = np.empty(len(inner), dtype=np.float32)
+    places[at] = out
+    return places[inner != PAD]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +206,14 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     of_class = np.zeros(OTHER)  # how many words each class has outside the vocabulary
     for r in counts.groupBy("other").agg(F.sum("n").alias("n")).collect():
         of_class[r["other"] - VOCABULARY] = r["n"]
-    total = int(of_class.sum())
-    # A million words at most have a share of a millionth, so what tasks send to the driver has a bound.
-    top = counts.where(F.col("n") * RAREST >= total).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    # How many words have which count, in steps of a sixteenth of a power of two: below the step that completes the vocabulary no word can be in it.
+    size = F.floor(F.log2("n") * 16)
+    least, so_far = 0, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):
+        least, so_far = r["size"], so_far + r["n"]
+        if so_far >= VOCABULARY:
+            break
+    top = counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     frequency = np.zeros(PAD)
     frequency[: len(top)] = [r["n"] for r in top]
     for r in top:
@@ -207,7 +238,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     lists = listed.select(F.col("chunk").alias("of"), "place", "word").join(counts, "word")
     texts = read.where("word is null").select("chunk", "doc_id", "ids")
     coded_rows = stage(texts.groupBy("chunk").cogroup(lists.groupBy("of")).applyInArrow(coded, "doc_id long, tokens binary, rare double"), "coded")
-    ids_of = lambda x: np.frombuffer(x, dtype="<u2").astype(np.int32)
+    ids_of = lambda x: np.frombuffer(x, dtype="<u2")
 
     def learner(shared):
         def learn(key: tuple, table: pa.Table) -> pa.Table:
@@ -216,12 +247,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             texts = [ids_of(x) for x in t.column("tokens").to_pylist() if x]
             n = 0
             if texts:
-                sides, tokens, _ = contexts(texts)
-                n = len(tokens)
-                order = np.random.default_rng(1).permutation(n)
-                for i in range(0, n, 2048):
-                    part = order[i : i + 2048]
-                    log_chances(mine, sides[part], tokens[part], 0.5)
+                n = sum(map(len, texts))
+                parts = steps(stream(texts))
+                for i in np.random.default_rng(1).permutation(len(parts)):
+                    log_chances(mine, parts[i], RATE)
             return pa.table({"n": pa.array([n], pa.int64()), "net": pa.array([_packed(mine)], pa.binary())})
 
         return learn
@@ -247,10 +276,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                     size += len(texts[b])
                     b += 1
                 if size:
-                    sides, tokens, doc = contexts(texts[a:b])
-                    for i in range(0, len(tokens), SCORED):
-                        cut = slice(i, i + SCORED)
-                        sums[a:b] += np.bincount(doc[cut], log_chances(mine, sides[cut], tokens[cut]).astype(np.float64), minlength=b - a)
+                    doc = np.repeat(np.arange(b - a), [len(t) for t in texts[a:b]])
+                    found = np.concatenate([log_chances(mine, part) for part in steps(stream(texts[a:b]))])
+                    sums[a:b] += np.bincount(doc, found.astype(np.float64), minlength=b - a)
                 a = b
             n = np.array([len(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / k if k else None for s, k in zip(sums, n, strict=True)], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
