@@ -176,8 +176,3 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> Iterator[np.ndarray]:
                 yield mix64((words[i:j] * _MULT[: j - i]).sum(keepdims=True) + np.uint64(j - i))
             else:
                 yield np.zeros(0, dtype=np.uint64)
-
-
-def rows_per_partition(df: DataFrame, column: str, each: int) -> int:
-    """How many buckets of about `each` rows df makes."""
-    return max(1, -(-df.select(F.count(column)).first()[0] // each))

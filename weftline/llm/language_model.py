@@ -7,14 +7,15 @@ layer, which predicts the token through a two-level softmax (class, then word in
 thousand operations; a word outside the vocabulary has the chance of its hashed class times its share of that class's
 words, from the table of all words.
 
-Texts are read once, in chunks: a chunk's distinct words are rows of a table, its documents are numbers of these rows.
-The table is counted, joined with its counts, and the documents are rewritten as network tokens. Every block of the
-corpus trains a copy of the network on all of its documents (Adagrad), and the copies are averaged by tokens seen,
-ROUNDS times; what is gathered, words and copies, grows with the corpus.
-
-Defined results: a null, empty or blank text has no tokens, log-likelihood 0 and null mean; repeated rows each get a
-result; an empty table gives an empty result; extra columns are not read. Blocks follow a hash of doc_id, so results
-don't depend on the order of rows or files.
+Texts are read once, in chunks of about CHUNK words, each a row: its documents as numbers in the list of its distinct
+words. The lists are cut into shards of all words by hash; a shard counts its words over all chunks and answers each
+chunk with the counts of the words that it listed, so no row stands for a word. Chunks are then rewritten as network
+tokens. Every chunk trains a copy of the network on all of its documents (Adagrad), and the copies are averaged by
+tokens seen, ROUNDS times; what is gathered, words and copies, grows with the corpus.
+
+Defined results: a null, empty or blank text has no tokens, log-likelihood 0 and null mean; repeated rows, and rows with
+a null doc_id, each get a result; an empty table gives an empty result; extra columns are not read. Chunks follow the
+order in which files are read.
 """
 
 from __future__ import annotations
@@ -27,18 +28,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import rows_per_partition, stage, tune
+from weftline.llm.common import stage, tune
 
 VOCABULARY, OTHER = 4032, 64
 CLASSES = 64  # of CLASSES tokens each: VOCABULARY + OTHER = CLASSES ** 2
 #: A word of the vocabulary is one of so many words of the corpus at least.
 RADIUS, HIDDEN = 2, 32
-ROUNDS, BLOCK_ROWS = 1, 4000
+ROUNDS = 1
 #: Places that one step learns from, or that are scored at a time.
 STEP = 1 << 14
 RATE = 0.15
 #: Words of a chunk, about.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
+#: Characters of text for each shard of the words.
+SHARD_CHARS = 50_000_000
+#: Steps in which counts are told apart, for each power of two.
+LEVELS = 16
 PAD = VOCABULARY + OTHER
 SIDES = tuple(j for j in range(-RADIUS, RADIUS + 1) if j)
 _PARTS = (("table", (PAD + 1, len(SIDES) * HIDDEN)), ("hidden0", (HIDDEN,)), ("head", (HIDDEN, CLASSES)), ("head0", (CLASSES,)), ("tail", (CLASSES, HIDDEN, CLASSES)), ("tail0", (CLASSES, CLASSES)))
@@ -147,32 +152,111 @@ def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
     return places[inner != PAD]
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (chunk, doc_id, ids: the places of their words in the chunk's list) and of the list (chunk, place, word, other, n)."""
-    from xxhash import xxh3_64_intdigest
+_CHUNK = "chunk long, shard int, first int, words binary, others binary, n binary, doc_ids array<long>, sizes binary, ids binary"
+_CHUNK_TYPES = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 2)
 
-    chunk = TaskContext.get().partitionId() << 32
-    hashed = lambda w: xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    for batch in batches:
-        doc_ids, texts, i = batch.column(0), batch.column(1).to_pylist(), 0
-        while i < len(texts):
-            places: dict[str, int] = {}
-            first, docs, size = i, [], 0
-            while i < len(texts) and (i == first or size < CHUNK):
-                docs.append(np.array([places.setdefault(w, len(places)) for w in words(texts[i])], dtype="<u4"))
+
+def _rows(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _names(shape: str) -> list[str]:
+    return [x.split()[0] for x in shape.split(", ")]
+
+
+def _read(shards: int):
+    """A row of each chunk: words and others of its list, doc_ids, sizes and ids of its documents; and a row of each shard of the list, from its place `first` on."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        chunk = TaskContext.get().partitionId() << 32
+        places: dict[str, int] = {}
+        ids, docs, size = [], [], 0
+
+        def done() -> pa.RecordBatch:
+            word = np.array([xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in places], dtype="<u8")
+            other = np.array([_other(w) - VOCABULARY for w in places], dtype="u1")
+            flat = np.concatenate(docs) if size else np.zeros(0, dtype="<u4")
+            n = np.bincount(flat, minlength=len(places)).astype("<u4")
+            shard = (word >> np.uint64(32)) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(order), dtype="<u4")
+            place[order] = np.arange(len(order))
+            word, other, n, shard = word[order], other[order], n[order], shard[order]
+            rows = [(chunk, None, None, word.tobytes(), other.tobytes(), None, ids, np.array([len(d) for d in docs], dtype="<u4").tobytes(), _squeezed(place[flat]))]
+            edge = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(shard)] if len(shard) else [0]
+            rows += [(chunk, int(shard[x]), int(x), word[x:y].tobytes(), other[x:y].tobytes(), n[x:y].tobytes(), None, None, None) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+            return _rows(rows, _names(_CHUNK), _CHUNK_TYPES)
+
+        for batch in batches:
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(d)
+                docs.append(np.array([places.setdefault(w, len(places)) for w in words(text)], dtype="<u4"))
                 size += len(docs[-1])
-                i += 1
-            m = len(docs)
-            none = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), doc_ids.slice(first, m), pa.array([d.tobytes() for d in docs], pa.binary()), none(m, pa.int32()), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int64())], names=_READ)
-            if k := len(places):
-                word = np.array([hashed(w) for w in places], dtype=np.uint64).view(np.int64)
-                n = np.bincount(np.concatenate(docs), minlength=k).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array(word), pa.array([_other(w) for w in places], pa.int32()), pa.array(n)], names=_READ)
-            chunk += 1
+                if size >= CHUNK:
+                    yield done()
+                    chunk, size = chunk + 1, 0
+                    places.clear()
+                    ids, docs = [], []
+        if ids:
+            yield done()
+
+    return over
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _loose(x: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(x), dtype=kind)
 
 
-_READ = ["chunk", "doc_id", "ids", "place", "word", "other", "n"]
+_COUNTED = "chunk long, first int, logs binary, words binary, others binary, n binary"
+
+
+def _counted(key: tuple, table: pa.Table) -> pa.Table:
+    """The logarithms of the counts of each chunk's words in this shard, and a row of all the shard's words with others and counts."""
+    lists = [np.frombuffer(x, dtype="<u8") for x in table.column("words").to_pylist()]
+    flat = np.concatenate(lists)
+    kinds, first, which = np.unique(flat, return_index=True, return_inverse=True)
+    n = np.bincount(which, np.frombuffer(b"".join(table.column("n").to_pylist()), dtype="<u4"), minlength=len(kinds)).astype("<i8")
+    other = np.frombuffer(b"".join(table.column("others").to_pylist()), dtype="u1")[first]
+    ends = np.cumsum([len(x) for x in lists])
+    logs = np.log(n).astype("<f4")[which]
+    rows = [(c, f, logs[e - len(x) : e].tobytes(), None, None, None) for c, f, x, e in zip(table.column("chunk").to_pylist(), table.column("first").to_pylist(), lists, ends, strict=True)]
+    rows.append((None, None, None, kinds.tobytes(), other.tobytes(), n.tobytes()))
+    return pa.Table.from_batches([_rows(rows, _names(_COUNTED), (pa.int64(), pa.int32(), *[pa.binary()] * 4))])
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(n) * LEVELS).astype(np.int32)
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind 0, level, words of that level) and (kind 1, class, tokens of that class)."""
+    for batch in batches:
+        for other, n in zip(batch.column("others").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            n = np.frombuffer(n, dtype="<i8")
+            level, words_ = np.unique(_level(n), return_counts=True)
+            tokens = np.bincount(np.frombuffer(other, dtype="u1"), n, minlength=OTHER)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(level) + [1] * OTHER, pa.int32()), pa.array([*level.tolist(), *range(OTHER)], pa.int32()), pa.array([*words_.tolist(), *tokens.astype(np.int64).tolist()], pa.int64())], names=["kind", "of", "n"])
+
+
+def _common(least: int):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word, other, n in zip(*(batch.column(c).to_pylist() for c in ("words", "others", "n")), strict=True):
+                n = np.frombuffer(n, dtype="<i8")
+                at = np.flatnonzero(_level(n) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(word, dtype="<i8")[at]), pa.array(np.frombuffer(other, dtype="u1")[at].astype(np.int32)), pa.array(n[at])], names=["word", "other", "n"])
+
+    return over
 
 
 def _packed(net: dict) -> bytes:
@@ -194,96 +278,90 @@ def _other(word: str) -> int:
     return VOCABULARY + xxh32_intdigest(word[-2:].encode("utf-8", "surrogatepass")) % OTHER
 
 
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray], np.ndarray]]:
+    """(doc_ids, tokens of each, rare) of each chunk."""
+    for ids, sizes, tokens, rare in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "tokens", "rare")), strict=True):
+        yield ids, np.split(np.frombuffer(tokens, dtype="<u2"), np.cumsum(np.frombuffer(sizes, dtype="<u4"))[:-1]), np.frombuffer(rare, dtype="<f8")
+
+
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood)."""
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = rows_per_partition(rows, "text", BLOCK_ROWS)
-    read = stage(rows.mapInArrow(_read, "chunk long, doc_id long, ids binary, place int, word long, other int, n long"), "read")
-    listed = read.where("word is not null")
-    counts = stage(listed.groupBy("word").agg(F.sum("n").alias("n"), F.min("other").alias("other")), "words")
-    of_class = np.zeros(OTHER)  # how many words each class has outside the vocabulary
-    for r in counts.groupBy("other").agg(F.sum("n").alias("n")).collect():
-        of_class[r["other"] - VOCABULARY] = r["n"]
-    # How many words have which count, in steps of a sixteenth of a power of two: below the step that completes the vocabulary no word can be in it.
-    size = F.floor(F.log2("n") * 16)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    read = stage(rows.mapInArrow(_read(1 + chars // SHARD_CHARS), _CHUNK), "read")
+    counted = stage(read.where("shard is not null").groupBy("shard").applyInArrow(_counted, _COUNTED), "words")
+    kinds = counted.where("chunk is null")
+    shares = kinds.mapInArrow(_shares, "kind int, of int, n long").groupBy("kind", "of").agg(F.sum("n").alias("n")).collect()  # a row of each level and class
+    of_class = np.zeros(OTHER)  # how many tokens each class has outside the vocabulary
+    for r in shares:
+        if r["kind"]:
+            of_class[r["of"]] = r["n"]
     least, so_far = 0, 0
-    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):
-        least, so_far = r["size"], so_far + r["n"]
-        if so_far >= VOCABULARY:
+    for r in sorted((r for r in shares if not r["kind"]), key=lambda r: -r["of"]):
+        least, so_far = r["of"], so_far + r["n"]
+        if so_far >= VOCABULARY:  # no word below this level can be in the vocabulary
             break
-    top = counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    top = kinds.mapInArrow(_common(least), "word long, other int, n long").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     frequency = np.zeros(PAD)
     frequency[: len(top)] = [r["n"] for r in top]
     for r in top:
-        of_class[r["other"] - VOCABULARY] -= r["n"]
+        of_class[r["other"]] -= r["n"]
     frequency[VOCABULARY:] = of_class
     by_word = sorted((r["word"], i) for i, r in enumerate(top))
     # VOCABULARY words at most, and one that ends the search and is never taken for a word
     vocabulary = np.array([*(w for w, _ in by_word), 0], dtype=np.int64), np.array([*(i for _, i in by_word), 0], dtype=np.uint16)
 
-    def coded(texts: pa.Table, table: pa.Table) -> pa.Table:
+    def coded(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """A chunk's documents as network tokens, and the log shares of their other words in their classes."""
-        place, word, other, n = (table.column(c).to_numpy() for c in ("place", "word", "other", "n"))
-        size = len(place)
-        token, share = np.zeros(size, dtype="<u2"), np.zeros(size)
-        at = np.searchsorted(vocabulary[0][:-1], word)
-        known = (vocabulary[0][at] == word) & (at < len(vocabulary[0]) - 1)
-        token[place] = np.where(known, vocabulary[1][at], other)
-        share[place] = np.where(known, 0.0, np.log(n / np.where(known, 1.0, of_class[other - VOCABULARY])))
-        ids = [np.frombuffer(x, dtype="<u4") for x in texts.column("ids").to_pylist()]
-        return pa.table({"doc_id": texts.column("doc_id"), "tokens": pa.array([token[x].tobytes() for x in ids], pa.binary()), "rare": pa.array([float(share[x].sum()) for x in ids], pa.float64())})
-
-    lists = listed.select(F.col("chunk").alias("of"), "place", "word").join(counts, "word")
-    texts = read.where("word is null").select("chunk", "doc_id", "ids")
-    coded_rows = stage(texts.groupBy("chunk").cogroup(lists.groupBy("of")).applyInArrow(coded, "doc_id long, tokens binary, rare double"), "coded")
-    ids_of = lambda x: np.frombuffer(x, dtype="<u2")
+        out = []
+        for word, other, ids, sizes, places in zip(*(texts.column(c).to_pylist() for c in ("words", "others", "doc_ids", "sizes", "ids")), strict=True):
+            word, other = np.frombuffer(word, dtype="<i8"), np.frombuffer(other, dtype="u1")
+            logs = np.frombuffer(b"".join(answers.sort_by("first").column("logs").to_pylist()), dtype="<f4")
+            at = np.searchsorted(vocabulary[0][:-1], word)
+            known = (vocabulary[0][at] == word) & (at < len(vocabulary[0]) - 1)
+            token = np.where(known, vocabulary[1][at], VOCABULARY + other.astype(np.uint16)).astype("<u2")
+            share = np.where(known, 0.0, logs - np.log(np.maximum(of_class, 1))[other])
+            flat, sizes_ = _loose(places, "<u4"), np.frombuffer(sizes, dtype="<u4")
+            rare = np.bincount(np.repeat(np.arange(len(sizes_)), sizes_), share[flat], minlength=len(sizes_))
+            out.append((ids, sizes, token[flat].tobytes(), rare.astype("<f8").tobytes()))
+        return pa.Table.from_batches([_rows(out, ["doc_ids", "sizes", "tokens", "rare"], (pa.list_(pa.int64()), *[pa.binary()] * 3))])
+
+    texts = read.where("shard is null").select("chunk", "words", "others", "doc_ids", "sizes", "ids")
+    answers = counted.where("chunk is not null").select(F.col("chunk").alias("of"), "first", "logs")
+    chunks = stage(texts.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(coded, "doc_ids array<long>, sizes binary, tokens binary, rare binary"), "coded")
 
     def learner(shared):
-        def learn(key: tuple, table: pa.Table) -> pa.Table:
-            mine = _unpacked(shared.value)
-            t = table.sort_by("doc_id")
-            texts = [ids_of(x) for x in t.column("tokens").to_pylist() if x]
-            n = 0
-            if texts:
-                n = sum(map(len, texts))
-                parts = steps(stream(texts))
-                for i in np.random.default_rng(1).permutation(len(parts)):
-                    log_chances(mine, parts[i], RATE)
-            return pa.table({"n": pa.array([n], pa.int64()), "net": pa.array([_packed(mine)], pa.binary())})
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, texts, _ in _documents(batch):
+                    mine, n = _unpacked(shared.value), sum(map(len, texts))
+                    parts = steps(stream(texts))
+                    for i in np.random.default_rng(1).permutation(len(parts)):
+                        log_chances(mine, parts[i], RATE)
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([_packed(mine)], pa.binary())], names=["n", "net"])
 
         return learn
 
     net = start(frequency)
-    learners = coded_rows.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(_packed(net))  # of fixed size
-
-        copies = learners.groupBy("block").applyInArrow(learner(shared), "n long, net binary")
-        net = _averaged(copies, net)
+        net = _averaged(chunks.mapInArrow(learner(shared), "n long, net binary"), net)
     shared = spark.sparkContext.broadcast(_packed(net))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = _unpacked(shared.value)
         for batch in batches:
-            texts = [ids_of(x) for x in batch.column(1).to_pylist()]
-            sums = batch.column(2).to_numpy().copy()
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= 1 << 15):
-                    size += len(texts[b])
-                    b += 1
-                if size:
-                    doc = np.repeat(np.arange(b - a), [len(t) for t in texts[a:b]])
-                    found = np.concatenate([log_chances(mine, part) for part in steps(stream(texts[a:b]))])
-                    sums[a:b] += np.bincount(doc, found.astype(np.float64), minlength=b - a)
-                a = b
-            n = np.array([len(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / k if k else None for s, k in zip(sums, n, strict=True)], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return coded_rows.mapInArrow(over, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            for ids, texts, sums in _documents(batch):
+                n = np.array([len(t) for t in texts])
+                if n.sum():
+                    found = np.concatenate([log_chances(mine, part) for part in steps(stream(texts))])
+                    sums = sums + np.bincount(np.repeat(np.arange(len(texts)), n), found.astype(np.float64), minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sums), pa.array([s / k if k else None for s, k in zip(sums, n, strict=True)], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+
+    return chunks.mapInArrow(over, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def _averaged(copies: DataFrame, net: dict) -> dict:
@@ -299,8 +377,8 @@ def _averaged(copies: DataFrame, net: dict) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "net"])
 
     level = stage(copies.select("n", "net").mapInArrow(summed, "n long, net binary"), "copies")
-    while (parts := level.count()) > 16:
-        level = stage(level.repartition(-(-parts // 16)).mapInArrow(summed, "n long, net binary"), "copies")
+    while (parts := level.count()) > 8:
+        level = stage(level.repartition(-(-parts // 8)).mapInArrow(summed, "n long, net binary"), "copies")
     rows = sorted((r["n"], bytes(r["net"])) for r in level.collect())
     total = sum(n for n, _ in rows)
     if not total:
