@@ -77,14 +77,17 @@ def steps(flat: np.ndarray, most: int = STEP) -> list[np.ndarray]:
     return [flat[max(0, i - RADIUS) : i + most + RADIUS] for i in range(RADIUS, len(flat) - RADIUS, most)]
 
 
-def _chances(h: np.ndarray, w: np.ndarray, w0: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(softmax of h w + w0, log of the chance of `of` in each row)."""
+def _chances(h: np.ndarray, w: np.ndarray, w0: np.ndarray, of: np.ndarray, all_: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax of h w + w0, if all is asked for, log of the chance of `of` in each row)."""
     z = h @ w
     z += w0
     np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z *= (1 / (z @ _ONES))[:, None]
-    return z, np.log(np.maximum(z[np.arange(len(of)), of], 1e-30))
+    whole = z @ _ONES
+    out = np.log(np.maximum(z[np.arange(len(of)), of] / whole, 1e-30))
+    if all_:
+        z /= whole[:, None]
+    return z, out
 
 
 def _descend(net: dict, name: str, at, slope: np.ndarray, rate: float) -> None:
@@ -92,8 +95,9 @@ def _descend(net: dict, name: str, at, slope: np.ndarray, rate: float) -> None:
     if "steep " + name not in net:
         net["steep " + name] = np.full((*net[name].shape[:1], 1) if name == "table" else net[name].shape, 1e-8, dtype=np.float32)
     steep = net["steep " + name]
-    steep[at] += np.square(slope).mean(axis=1, keepdims=True) if name == "table" else np.square(slope)
-    net[name][at] -= rate * slope / np.sqrt(steep[at])
+    steep[at] += np.einsum("ij,ij->i", slope, slope)[:, None] / slope.shape[1] if name == "table" else slope * slope
+    slope *= rate / np.sqrt(steep[at])
+    net[name][at] -= slope
 
 
 def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
@@ -115,7 +119,7 @@ def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
     for k in range(1, len(SIDES)):
         h += beside[cut(k), col(k)]
     h = np.tanh(h[at])
-    head, out = _chances(h, net["head"], net["head0"], group)
+    head, out = _chances(h, net["head"], net["head0"], group, rate > 0)
     bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
     dh = None
     if rate:
@@ -126,7 +130,7 @@ def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
         if a == b:
             continue
         hidden, mine = h[a:b], member[a:b]
-        tail, log_p = _chances(hidden, net["tail"][c], net["tail0"][c], mine)
+        tail, log_p = _chances(hidden, net["tail"][c], net["tail0"][c], mine, rate > 0)
         out[a:b] += log_p
         if rate:
             tail[np.arange(b - a), mine] -= 1
@@ -140,7 +144,7 @@ def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
         _descend(net, "hidden0", ..., dh.sum(0), rate)
         back = np.zeros((len(inner), HIDDEN), dtype=np.float32)
         back[at] = dh
-        beside[:] = 0
+        beside[: 2 * RADIUS], beside[-2 * RADIUS :] = 0, 0
         for k in range(len(SIDES)):
             beside[cut(k), col(k)] = back
         by = np.argsort(part, kind="stable")
