@@ -275,22 +275,20 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the bytes that are left."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text"))
-    marked = rows.select("doc_id", "mark", "text").mapInArrow(_marks, "doc_id long, mark long, anchor long")
-    twice = marked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = marked.join(twice, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("anchors"))
+    marked = stage(rows.select("doc_id", "mark", "text").mapInArrow(_marks, "doc_id long, mark long, anchor long"), "marked")
+    # Written before they are joined: both sides are then plain shuffles, so that a very frequent string's side can be split.
+    twice = stage(marked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
+    wanted = marked.join(twice.hint("shuffle_hash"), "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("anchors"))
     wanted = stage(wanted, "wanted")
     found = rows.select("doc_id", "mark", "text").join(wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "anchors")
     found = stage(found.mapInArrow(_segments, "anchor long, segment binary, doc_id long, mark long, place int, bytes binary"), "segments")
 
     kinds = found.groupBy("segment").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"))
     kinds = stage(kinds, "kinds")
-    # Where all segments of a string stand twice, all their windows repeat already; only strings with a lone segment are sorted.
-    split = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"), F.min("n").alias("least"), F.sum(F.length("bytes")).alias("size"))
+    split = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"), F.sum(F.length("bytes")).alias("size"))
     split = stage(split, "strings")
-    size = split.where("least = 1").agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    settled = kinds.join(split.where("least > 1").select("anchor"), "anchor").select("segment", F.array(F.lit(0), (F.length("bytes") - LENGTH + 1).cast("int")).alias("runs"))
-    split = split.where("least = 1").select("anchor", "parts")
+    shards = max(1, -(-(split.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
+    split = split.select("anchor", "parts")
     sharded = kinds.join(split, "anchor").select(
         "*", F.when(F.col("parts") > 1, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"), F.pmod(F.xxhash64("segment"), F.col("parts")).cast("int").alias("part")
     )
@@ -302,7 +300,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     # A window that another part knows repeats wherever its own part has it: all its segments are asked again by fingerprint.
     every = kinds.join(split.where("parts > 1"), "anchor").select("segment", "anchor", "bytes").mapInArrow(_windows, "segment binary, anchor long, place int, w1 long, w2 long")
     late = every.join(met, ["anchor", "w1", "w2"]).groupBy("segment").agg(F.flatten(F.collect_list(F.array("place", F.lit(1)))).alias("runs"))
-    runs = solved.select("segment", "runs").where("size(runs) > 0").unionByName(settled).unionByName(late.select("segment", F.col("runs").cast("array<int>")))
+    runs = solved.select("segment", "runs").where("size(runs) > 0").unionByName(late.select("segment", F.col("runs").cast("array<int>")))
     runs = runs.groupBy("segment").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
     spans = found.select("segment", "doc_id", "mark", "place").join(runs, "segment").select(
