@@ -71,7 +71,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, dtype=np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : n + j]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
     rank = np.empty(n, dtype=np.int64)
 
@@ -92,7 +92,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             next_ = s + h
             follow = np.where(next_ < n, rank[np.minimum(next_, n - 1)] + 1, 0)
             both = (rank[s].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
-            turn = np.argsort(both, kind="stable")
+            turn = np.argsort(both)
             order[open_] = s[turn]
             both = both[turn]
             number(open_, np.concatenate([[False], both[1:] == both[:-1]]))
