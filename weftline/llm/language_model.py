@@ -20,7 +20,9 @@ order in which files are read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -112,13 +114,13 @@ def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
         return np.zeros(0, dtype=np.float32)
     at = at[np.argsort((inner[at] // CLASSES).astype(np.uint8), kind="stable")]
     group, member = (inner[at] // CLASSES).astype(np.int64), (inner[at] % CLASSES).astype(np.int64)
-    beside = net["table"][part]
+    beside = np.take(net["table"], part, axis=0)
     cut = lambda k: slice(RADIUS + SIDES[k], RADIUS + SIDES[k] + len(inner))
     col = lambda k: slice(k * HIDDEN, (k + 1) * HIDDEN)
     h = beside[cut(0), col(0)] + net["hidden0"]
     for k in range(1, len(SIDES)):
         h += beside[cut(k), col(k)]
-    h = np.tanh(h[at])
+    h = np.tanh(np.take(h, at, axis=0))
     head, out = _chances(h, net["head"], net["head0"], group, rate > 0)
     bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
     dh = None
@@ -150,7 +152,7 @@ def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
         by = np.argsort(part, kind="stable")
         sorted_ = part[by]
         firsts = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
-        _descend(net, "table", sorted_[firsts], np.add.reduceat(beside[by], firsts), rate)
+        _descend(net, "table", sorted_[firsts], np.add.reduceat(np.take(beside, by, axis=0), firsts), rate)
     places = np.empty(len(inner), dtype=np.float32)
     places[at] = out
     return places[inner != PAD]
@@ -175,10 +177,10 @@ def _read(shards: int):
         from xxhash import xxh3_64_intdigest
 
         chunk = TaskContext.get().partitionId() << 32
-        places: dict[str, int] = {}
+        places: dict[str, int] = defaultdict(count().__next__)  # numbered as they come
         ids, docs, size = [], [], 0
 
-        def done() -> pa.RecordBatch:
+        def done(places: dict[str, int]) -> pa.RecordBatch:
             word = np.array([xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in places], dtype="<u8")
             other = np.array([_other(w) - VOCABULARY for w in places], dtype="u1")
             flat = np.concatenate(docs) if size else np.zeros(0, dtype="<u4")
@@ -196,15 +198,15 @@ def _read(shards: int):
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(d)
-                docs.append(np.array([places.setdefault(w, len(places)) for w in words(text)], dtype="<u4"))
+                docs.append(np.fromiter(map(places.__getitem__, words(text)), dtype="<u4"))
                 size += len(docs[-1])
                 if size >= CHUNK:
-                    yield done()
+                    yield done(places)
                     chunk, size = chunk + 1, 0
-                    places.clear()
+                    places = defaultdict(count().__next__)
                     ids, docs = [], []
         if ids:
-            yield done()
+            yield done(places)
 
     return over
 
