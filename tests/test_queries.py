@@ -32,22 +32,40 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def nearest(i, kept, d):
+    return min(d[min(i, k), max(i, k)] for k in kept)
+
+
+def test_reduction_by_hand():
+    """Pairs by distance: 0-1 0.1, 1-2 0.12, 0-2 0.2, 2-3 0.3, 1-3 0.4, 0-3 0.45."""
+    d = {(0, 1): 0.1, (1, 2): 0.12, (0, 2): 0.2, (2, 3): 0.3, (1, 3): 0.4, (0, 3): 0.45}
+    assert automata.reduced([0, 1, 2, 3], d, 0.05) == [0, 1, 2, 3]
+    assert automata.reduced([0, 1, 2, 3], d, 0.1) == [1, 2, 3]  # 0 goes, 0.1 from 1
+    assert automata.reduced([0, 1, 2, 3], d, 0.15) == [1, 2, 3]  # without 1, 0 would be 0.2 from 2
+    assert automata.reduced([0, 1, 2, 3], d, 0.2) == [2, 3]
+    assert automata.reduced([0, 1, 2, 3], d, 0.44) == [2, 3]  # without 2, 0 would be 0.45 from 3
+    assert automata.reduced([0, 1, 2, 3], d, 0.45) == [3]
+
+
 def test_reduces_the_models_of_all_training_windows(spark):
-    """Against every pair of every window's model, the nearest first."""
+    """No dropped model is further than the bound from a kept one, and no model more could go in the order of pairs."""
     words = {}
     for r in sorted(adapters.words(spark, SF).where("train").collect(), key=lambda r: r["ord"]):
         words.setdefault(r["model"], {}).setdefault(r["win"], []).append(list(r["word"]))
-    want = set()
+    got = {}
+    for r in QUERIES["at_reduce_models"](spark, SF).collect():
+        got.setdefault(r["model"], set()).add(r["win"])
+    assert max(w for x in words.values() for w in x) > 8 and set(got) == set(words)
     for model, windows in words.items():
-        learned, kept = {w: automata.alergia(x) for w, x in windows.items()}, []
-        for w in sorted(windows):
-            if all(repr(learned[w].table()) != repr(learned[v].table()) for v in kept):
-                kept.append(w)
-        pairs, spent, gone = sorted((automata.automaton_distance(learned[v], learned[w]), v, w) for v in kept for w in kept if v < w), 0.0, set()
-        for d, v, w in pairs:
-            if not {v, w} & gone and spent + d <= 0.5:
-                gone.add(w)
-                spent += d
-        want |= {(model, w) for w in kept if w not in gone}
-    assert max(w for x in words.values() for w in x) > 8
-    assert {tuple(r) for r in QUERIES["at_reduce_models"](spark, SF).collect()} == want
+        learned = {w: automata.alergia(x) for w, x in windows.items()}
+        kinds = [w for w in sorted(windows) if all(repr(learned[w].table()) != repr(learned[v].table()) for v in windows if v < w)]
+        d = {(v, w): automata.automaton_distance(learned[v], learned[w]) for v in kinds for w in kinds if v < w}
+        gone, kept = set(kinds) - got[model], got[model]
+        assert kept <= set(kinds) and all(nearest(i, kept, d) <= 0.5 for i in gone)
+        for i, j in sorted(d, key=lambda p: (d[p], p)):
+            if i in gone and j in gone:
+                continue
+            drop = j if i in gone else i
+            rest = kept - {drop}
+            assert not rest or max(nearest(x, rest, d) for x in gone | {drop}) > 0.5
+            break

@@ -122,18 +122,34 @@ def anomalies(test: DataFrame, trained: DataFrame, model: str = "model") -> Data
     return test.join(trained.select(model, "word").distinct(), [model, "word"], "left_anti")
 
 
-def distances(test: DataFrame, trained: DataFrame, model: str = "model", by: Sequence[str] = ("win",)) -> DataFrame:
-    """min(1, L2 distance) of the distributions of each window and its pair's model; 1 if there is no model."""
-    by = list(by)
-    window = test.withColumn("_m", F.struct(model, *by))
+def judged_windows(test: DataFrame, model: str = "model", win: str = "win") -> DataFrame:
+    """(model, win): every window from the first of the test to the last that the pair has, also those in which it is silent."""
+    first = test.agg(F.min(win).alias("_first"))
+    each = F.explode(F.sequence(F.col("_first"), F.col("_last"))).alias(win)
+    return test.groupBy(model).agg(F.max(win).alias("_last")).join(F.broadcast(first)).select(model, each)
+
+
+def distances(test: DataFrame, trained: DataFrame, model: str = "model", win: str = "win") -> DataFrame:
+    """(model, win, distance): min(1, L2 distance) of the distributions of each window and its pair's model.
+
+    Without a model it is 1, or 0 in a window without words; a silent window is as far as can be from a model that has edges."""
+    window = test.withColumn("_m", F.struct(model, win))
     p = distribution(window, "_m").select(F.col("_m.*"), "word", F.col("p").alias("p1"))
     golden = distribution(trained, model).withColumnRenamed("p", "p2")
     # sum (p1 - p2)^2 over both = sum over the window's words of (p1 - p2)^2 - p2^2, + sum p2^2 of the model
-    weight = golden.groupBy(model).agg(F.sum(F.col("p2") * F.col("p2")).alias("norm"))
+    weight = golden.groupBy(model).agg(F.sum(F.col("p2") * F.col("p2")).alias("norm"), F.max(F.size("word")).alias("deep"))
     near = p.join(golden, [model, "word"], "left").withColumn("p2", F.coalesce("p2", F.lit(0.0)))
-    part = near.groupBy(model, *by).agg(F.sum(F.col("p1") * F.col("p1") - 2 * F.col("p1") * F.col("p2")).alias("s"))
+    part = near.groupBy(model, win).agg(F.sum(F.col("p1") * F.col("p1") - 2 * F.col("p1") * F.col("p2")).alias("s"))
     d = F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), F.col("s") + F.col("norm"))))
-    return part.join(weight, model, "left").select(model, *by, F.coalesce(d, F.lit(1.0)).alias("distance"))
+    silent = F.when(F.coalesce("deep", F.lit(0)) > 0, 1.0).otherwise(0.0)
+    every = judged_windows(test, model, win).join(part, [model, win], "left").join(weight, model, "left")
+    return every.select(model, win, F.when(F.col("s").isNull(), silent).when(F.col("norm").isNull(), 1.0).otherwise(d).alias("distance"))
+
+
+def until_near(scored: DataFrame, by: Sequence[str], model: str = "model", near: float = 0.0) -> DataFrame:
+    """Of each window's models, in order, those up to the first whose distance is `near` or less: the others needn't be looked at."""
+    before = Window.partitionBy(*by).orderBy(model).rowsBetween(Window.unboundedPreceding, -1)
+    return scored.withColumn("_least", F.min("distance").over(before)).where(F.col("_least").isNull() | (F.col("_least") > near)).drop("_least")
 
 
 def best_model(scored: DataFrame, by: Sequence[str], model: str = "model") -> DataFrame:
@@ -213,7 +229,7 @@ def compatible(a: Automaton, p: int, q: int, alpha: float) -> bool:
 
 
 def alergia(words: Iterable[Sequence[str]], alpha: float = 0.05, least: int | None = None) -> Automaton:
-    """Merges compatible states of the words' tree; a state that fewer than `least` (log2 of the words) pass is merged without a test of its own once it's met."""
+    """Merges compatible states of the words' tree; a state that fewer than `least` (log2 of the words) pass is left as it is."""
     words = list(words)
     a, n = Automaton.tree(words)
     least = least if least is not None else int(log2(n)) if n else 1
@@ -299,19 +315,46 @@ def word_log_probability(a: Automaton, word: Sequence[str]) -> float | None:
     return total + log(a.ends[q] / a.passes(q)) if a.ends[q] else None
 
 
+def reduced(names: Sequence[int], distance: dict[tuple[int, int], float], most: float) -> list[int]:
+    """The names that stay when each dropped one must have a kept one within `most`.
+
+    Pairs are taken nearest first; of each pair the first goes, or the second where the first has gone already. It ends
+    at the first pair whose loss would put some dropped one further than `most` from its nearest kept one."""
+    gone: set[int] = set()
+
+    def loss(out: set[int]) -> float:
+        kept = [k for k in names if k not in out]
+        return max(min(distance[min(i, k), max(i, k)] for k in kept) for i in out) if kept else 1.0
+
+    for (i, j), _ in sorted(distance.items(), key=lambda x: (x[1], x[0])):
+        if i in gone and j in gone:
+            continue
+        after = gone | {j if i in gone else i}
+        if loss(after) > most:
+            break
+        gone = after
+    return [i for i in names if i not in gone]
+
+
 def reduce_models(models: Sequence[Automaton], most: float = 0.1) -> list[int]:
-    """Indices of the models that stay: equal ones once, then near ones go, nearest pair first, while the sum of what was given up is within `most`."""
+    """Indices of the models that stay: equal ones once, then as in `reduced` by the models' distances."""
     kinds: dict[str, int] = {}
     for i, m in enumerate(models):
         kinds.setdefault(repr(m.table()), i)
-    left, lost = sorted(kinds.values()), 0.0
-    near = sorted((automaton_distance(models[i], models[j]), i, j) for k, i in enumerate(left) for j in left[k + 1 :])
-    gone: set[int] = set()
-    for d, i, j in near:
-        if i not in gone and j not in gone and lost + d <= most:
-            gone.add(j)
-            lost += d
-    return [i for i in left if i not in gone]
+    left = sorted(kinds.values())
+    return reduced(left, {(i, j): automaton_distance(models[i], models[j]) for k, i in enumerate(left) for j in left[k + 1 :]}, most)
+
+
+def reduce_windows(words: DataFrame, most: float, model: str = "model", win: str = "win", alpha: float = 0.05) -> DataFrame:
+    """(model, win): the windows whose merged automata stay in each model's ensemble."""
+
+    def keep(table: pd.DataFrame) -> pd.DataFrame:
+        parts = sorted((w, g.sort_values("ord")["word"].map(list).tolist()) for w, g in table.groupby(win))
+        left = reduce_models([alergia(x, alpha) for _, x in parts], most)
+        return pd.DataFrame({model: table[model].iloc[0], win: [parts[i][0] for i in left]})
+
+    kind = words.schema[model].dataType.simpleString()
+    return words.select(model, win, "ord", "word").groupBy(model).applyInPandas(keep, f"{model} {kind}, {win} long")
 
 
 def learn(words: DataFrame, model: str = "model", alpha: float = 0.05) -> DataFrame:
@@ -328,17 +371,49 @@ def learn(words: DataFrame, model: str = "model", alpha: float = 0.05) -> DataFr
     return words.select(model, "word", "ord").groupBy(model).applyInPandas(fit, f"{model} {kind}, src int, symbol string, dst int, p double")
 
 
-def learned_distances(test: DataFrame, trained: DataFrame, model: str = "model", win: str = "win", alpha: float = 0.05) -> DataFrame:
-    """(model, win, distance) of merged automata: each window's own against its pair's."""
+def _judge(test: DataFrame, trained: DataFrame, model: str, win: str, judge, shape: str) -> DataFrame:
+    """judge(model's words or None, window number, words of the window) -> values, for each window of each pair."""
+    first = test.agg(F.min(win).alias("_first"))
+    cols = [model, "word", "ord"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        golden = alergia(right.sort_values("ord")["word"].map(list), alpha) if len(right) else None
+        golden = right.sort_values("ord")["word"].map(list).tolist() if len(right) else None
         rows = []
-        for w, part in left.sort_values("ord").groupby(win):
-            mine = alergia(part["word"].map(list), alpha)
-            rows.append((part[model].iloc[0], w, 1.0 if golden is None else automaton_distance(golden, mine)))
-        return pd.DataFrame(rows, columns=[model, win, "distance"])
+        if len(left):
+            parts = {w: part["word"].map(list).tolist() for w, part in left.sort_values("ord").groupby(win)}
+            for w in range(int(left["_first"].iloc[0]), max(parts) + 1):
+                rows += [(left[model].iloc[0], w, *x) for x in judge(golden, parts.get(w, []))]
+        return pd.DataFrame(rows, columns=[model, win, *(x.split()[0] for x in shape.split(", "))])
 
     kind = test.schema[model].dataType.simpleString()
-    cols = [model, "word", "ord"]
-    return test.select(*cols, win).groupBy(model).cogroup(trained.select(*cols).groupBy(model)).applyInPandas(compare, f"{model} {kind}, {win} long, distance double")
+    asked = test.select(*cols, win).join(F.broadcast(first))
+    return asked.groupBy(model).cogroup(trained.select(*cols).groupBy(model)).applyInPandas(compare, f"{model} {kind}, {win} long, {shape}")
+
+
+def _window_distance(golden: Automaton | None, words: list, mine: Automaton) -> float:
+    if golden is None:
+        return 1.0 if words else 0.0
+    return automaton_distance(golden, mine)
+
+
+def learned_distances(test: DataFrame, trained: DataFrame, model: str = "model", win: str = "win", alpha: float = 0.05) -> DataFrame:
+    """(model, win, distance) of merged automata: each window's own, also of silent ones, against its pair's."""
+
+    def judge(golden: list | None, words: list) -> list[tuple]:
+        return [(_window_distance(None if golden is None else alergia(golden, alpha), words, alergia(words, alpha)),)]
+
+    return _judge(test, trained, model, win, judge, "distance double")
+
+
+def explained(test: DataFrame, trained: DataFrame, threshold: float, model: str = "model", win: str = "win", alpha: float = 0.05) -> DataFrame:
+    """(model, win, distance, word, p) of windows further than `threshold` from their model: the model's most probable word that the window's own merged automaton lacks."""
+    from weftline.operators.algebra import Weighted
+
+    def judge(golden: list | None, words: list) -> list[tuple]:
+        a, b = None if golden is None else alergia(golden, alpha), alergia(words, alpha)
+        d = _window_distance(a, words, b)
+        if d <= threshold:
+            return []
+        return [(d, *(Weighted.of(a).difference(Weighted.of(b)).most_probable() if a else (None, None)))]
+
+    return _judge(test, trained, model, win, judge, "distance double, word array<string>, p double")

@@ -76,7 +76,9 @@ _TREE = """, cut AS (SELECT model, l, unnest(range(0, len + 1)) AS i FROM tr), p
 _DIST = """, golden AS (SELECT model, word, count(*) / CAST(sum(count(*)) OVER (PARTITION BY model) AS DOUBLE) AS p2 FROM tr GROUP BY model, word)"""
 _DISTANCE = """, mine AS (SELECT model, win, word, count(*) / CAST(sum(count(*)) OVER (PARTITION BY model, win) AS DOUBLE) AS p1 FROM te GROUP BY model, win, word),
 k2 AS (SELECT DISTINCT model, win FROM mine), uni AS (SELECT model, win, word FROM mine UNION SELECT k2.model, win, word FROM k2 JOIN golden USING (model)),
-dist AS (SELECT model, win, CASE WHEN model IN (SELECT model FROM golden) THEN least(1e0, sqrt(sum((coalesce(p1, 0) - coalesce(p2, 0)) ** 2))) ELSE 1e0 END AS distance FROM uni LEFT JOIN mine USING (model, win, word) LEFT JOIN golden USING (model, word) GROUP BY model, win)"""
+heard AS (SELECT model, win, CASE WHEN model IN (SELECT model FROM golden) THEN least(1e0, sqrt(sum((coalesce(p1, 0) - coalesce(p2, 0)) ** 2))) ELSE 1e0 END AS distance FROM uni LEFT JOIN mine USING (model, win, word) LEFT JOIN golden USING (model, word) GROUP BY model, win),
+span AS (SELECT model, unnest(range((SELECT min(win) FROM te), max(win) + 1)) AS win FROM te GROUP BY model),
+dist AS (SELECT model, win, coalesce(distance, CASE WHEN model IN (SELECT model FROM golden WHERE word <> '') THEN 1e0 ELSE 0e0 END) AS distance FROM span LEFT JOIN heard USING (model, win))"""
 
 _V = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8))
 _VEC = f"WITH v AS (SELECT vec_id, label, {_V} FROM embeddings)"
@@ -142,6 +144,8 @@ ORACLES: dict[str, str] = {
     "at_suppress_last_window": _p(_WORDS + _DIST + _DISTANCE + " SELECT model, win, round(distance, 6) AS distance FROM dist WHERE win < (SELECT max(win) FROM dist)"),
     "at_distr_min_model": _p(_WORDS.replace("tr AS (SELECT * FROM words", "tr AS (SELECT * REPLACE (model || CASE WHEN ord % 2 = 0 THEN 'a' ELSE 'b' END AS model) FROM words").replace("te AS (SELECT * FROM words WHERE", "te AS (SELECT words.* REPLACE (model || h AS model) FROM words, (VALUES ('a'), ('b')) hh(h) WHERE") + _DIST + _DISTANCE
         + ", y AS (SELECT substr(model, 1, 2) AS m, substr(model, 3) AS half, win, round(distance, 9) AS d FROM dist) SELECT m AS model, win, round(min(d), 6) AS distance, arg_min(half, {'d': d, 'h': half}) AS half FROM y GROUP BY m, win"),
+    "at_distr_early_stop": _p(_WORDS.replace("tr AS (SELECT * FROM words", "tr AS (SELECT * REPLACE (model || CASE WHEN ord % 2 = 0 THEN 'a' ELSE 'b' END AS model) FROM words").replace("te AS (SELECT * FROM words WHERE", "te AS (SELECT words.* REPLACE (model || h AS model) FROM words, (VALUES ('a'), ('b')) hh(h) WHERE") + _DIST + _DISTANCE
+        + ", y AS (SELECT substr(model, 1, 2) AS m, substr(model, 3) AS half, win, round(distance, 9) AS d FROM dist), z AS (SELECT *, min(d) OVER (PARTITION BY m, win ORDER BY half ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM y) SELECT m AS model, win, round(d, 6) AS distance, half FROM z WHERE l IS NULL OR l > 0.3"),
     "at_missing_word": _p(_WORDS + _DIST + ", l AS (SELECT model, win, word, p2 FROM (SELECT DISTINCT model, win FROM te) JOIN golden USING (model) ANTI JOIN te USING (model, win, word)), o AS (SELECT *, row_number() OVER (PARTITION BY model, win ORDER BY p2 DESC, word) AS rn FROM l) SELECT model, win, word, round(p2, 6) AS p FROM o WHERE rn = 1"),
     "at_subsequence": _p(_WORDS + " SELECT ord, ',' || word || ',' LIKE '%,view,%click,%' AS sub FROM words"),
     "ml_maxabs": f"{_VEC} SELECT vec_id, " + ", ".join(f"round(f{i} / max(abs(f{i})) OVER (), 5) AS f{i}" for i in range(8)) + " FROM v",

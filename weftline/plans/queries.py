@@ -312,6 +312,16 @@ def at_distr_min_model(spark, d):
     return A.best_model(_many_models(spark, d), ["model", "win"], "half").select("model", "win", F.round("distance", 6).alias("distance"), "half")
 
 
+@query
+def at_distr_early_stop(spark, d):
+    return A.until_near(_many_models(spark, d), ["model", "win"], "half", 0.3).select("model", "win", F.round("distance", 6).alias("distance"), "half")
+
+
+@query
+def at_alergia_explained(spark, d):
+    return A.explained(_test(spark, d), _train(spark, d), 0.2).select("model", "win", F.round("distance", 6).alias("distance"), _text("word"), F.round("p", 6).alias("p"))
+
+
 @query
 def at_missing_word(spark, d):
     return A.missing_words(_test(spark, d), _train(spark, d)).select("model", "win", _text("word"), F.round("p", 6).alias("p"))
@@ -335,14 +345,7 @@ def at_alergia_distance(spark, d):
 
 @query
 def at_reduce_models(spark, d):
-    def keep(t):
-        import pandas as pd
-
-        parts = sorted((w, g.sort_values("ord")["word"].map(list).tolist()) for w, g in t.groupby("win"))
-        left = A.reduce_models([A.alergia(words) for _, words in parts], 0.5)
-        return pd.DataFrame({"model": t["model"].iloc[0], "win": [parts[i][0] for i in left]})
-
-    return _train(spark, d).select("model", "win", "ord", "word").groupBy("model").applyInPandas(keep, "model string, win long")
+    return A.reduce_windows(_train(spark, d), 0.5)
 
 
 @query
