@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -462,7 +461,7 @@ def st_watch_flows(spark, d):
     """events through a file stream: windows close behind the watermark, the last ones behind a row that stands after all."""
     from weftline import streaming
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="weftline-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     top = f"{shared.rstrip('/')}/weftline/stream-{uuid.uuid4().hex}"
     p = D.packets(spark, d).select("seq", F.timestamp_micros("us").alias("ts"), "us", "up", "octets", "proto", "src_ip", "dst_ip", "src_port", "dst_port")
     p.write.parquet(f"{top}/in/part=0")
