@@ -1,20 +1,22 @@
 """Quality classifier by co-training (operator 3).
 
-Two views of a document: its text's content (character classes, word shapes and hashed word frequencies) and its
-page's metadata (source, language, length, line layout). A logistic model of each view is fitted on labelled documents
-(a hash-chosen sample of TRAIN_ROWS at most); in each round either model picks, among all documents without label, the
-ones it is surest of, in proportion to the labels, and hands them to the other. At the end each view is calibrated on
-labelled rows that no fit saw (Platt), and the mean of the views' log-odds, weighed by their held-out log loss, scores
-every document.
-
-Defined results: null or empty text has zero features and is scored by its prior and metadata; documents of one class
-only, or none, score that class's smoothed share; of several labels of a document the lowest counts; repeated rows are
-each scored; an empty table gives an empty result; extra columns are not read.
+Two views of a document that share no input: its text's content (character classes, word shapes and hashed word
+frequencies) and its page's metadata (source, language and stated size, columns of the table; nothing is read from the
+text). A logistic model of each view is fitted on labelled documents (a hash-chosen sample of TRAIN_ROWS at most). In
+each round both are calibrated on labelled rows that no fit sees (Platt); either picks, among all documents without
+label, the ones it is surest of, in proportion to the labels and with a calibrated probability of CONFIDENT at least,
+and hands them to the other. A view that can't tell the classes apart so hands over nothing. At the end the mean of the
+views' log-odds, weighed by their held-out log loss, scores every document.
+
+Defined results: null or empty text has zero features and is scored by its prior and metadata; null metadata is a value
+of its own; documents of one class only, or none, score that class's smoothed share; of several labels of a document the
+lowest counts; repeated rows are each scored, and a document without doc_id is scored but never handed over; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import encoded, sliced, stage, tune, word_hashes
 
-TRAIN_ROWS, ROUNDS, EXCHANGE = 20_000, 3, 400
-HASHED, META = 48, 32
+TRAIN_ROWS, ROUNDS, EXCHANGE, CONFIDENT = 20_000, 3, 400, 0.95
+HASHED, SOURCES, LANGS = 256, 64, 16
+META = SOURCES + LANGS + 2
 _SHAPE = 16
 
 
@@ -47,25 +50,24 @@ def content(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def metadata(rows: list[tuple]) -> np.ndarray:
-    """Source and language hashed to places, and the layout that a page's record shows without its words."""
+def metadata(rows: Iterable[tuple]) -> np.ndarray:
+    """Source and language hashed to places, the logarithm of the stated size and whether one is stated."""
     from xxhash import xxh32_intdigest
 
+    rows = list(rows)
     out = np.zeros((len(rows), META), dtype=np.float32)
-    for r, (source, lang, size, lines, longest) in enumerate(rows):
-        out[r, xxh32_intdigest(f"s{source}") % 16] = 1
-        out[r, 16 + xxh32_intdigest(f"l{lang}") % 8] = 1
-        out[r, 24:29] = np.log1p(size) / 12, np.log1p(lines) / 6, np.log1p(longest) / 12, np.log1p(size / max(1, lines)) / 12, longest / max(1, size)
+    for r, (source, lang, size) in enumerate(rows):
+        out[r, xxh32_intdigest(f"s{source}") % SOURCES] = 1
+        out[r, SOURCES + xxh32_intdigest(f"l{lang}") % LANGS] = 1
+        out[r, -2:] = np.log1p(max(0, size or 0)) / 12, size is not None
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, raw, source, lang = (batch.column(i).to_pylist() for i in range(4))
-        texts = encoded(raw)
-        c = content(texts)
-        m = metadata([(s, g, len(t), t.count(b"\n") + bool(t), max((len(x) for x in t.split(b"\n")), default=0)) for t, s, g in zip(texts, source, lang, strict=True)])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in c.astype("<f4")], pa.binary()), pa.array([x.tobytes() for x in m.astype("<f4")], pa.binary())], names=["doc_id", "content", "meta"])
+        ids, raw, *record = (c.to_pylist() for c in batch.columns)
+        views = content(encoded(raw)), metadata(zip(*record, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary()) for v in views)], names=["doc_id", "content", "meta"])
 
 
 class Logistic:
@@ -114,7 +116,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", train_r
     spark = docs.sparkSession
     tune(spark)
     shape = "doc_id long, content binary, meta binary"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     all_ = stage(rows.mapInArrow(_features, shape).join(known.hint("shuffle_hash"), "doc_id", "left"), "features")
     n_known = all_.where("y is not null").count()
@@ -128,38 +130,68 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", train_r
     y, views = y[order], {k: v[order] for k, v in views.items()}
     held = np.arange(len(y)) % 5 == 0
     train = {k: (v[~held], y[~held]) for k, v in views.items()}
-    models = {k: Logistic().fit(*train[k]) for k in views}
+    models = {k: _fitted(*train[k], v[held], y[held]) for k, v in views.items()}
     taken: set[int] = set()
     for _ in range(rounds):
-        scored = _scored(all_.where("y is null"), models, raw=True)
-        given: dict[str, list] = {"content": [], "meta": []}
-        for mine, other in (("content", "meta"), ("meta", "content")):
-            n_good = max(1, round(exchange * float(y.mean())))
-            for value, n in ((1.0, n_good), (0.0, max(1, exchange - n_good))):
-                sure = F.col(f"p_{mine}").desc() if value else F.col(f"p_{mine}").asc()
-                given[other] += [(r["doc_id"], r[other], value) for r in scored.orderBy(sure, "doc_id").select("doc_id", other).limit(n + len(taken)).collect() if r["doc_id"] not in taken][:n]
+        sure = stage(_surest(all_.where("y is null and doc_id is not null"), models, exchange, float(y.mean()), taken), "surest")
+        given: dict[str, dict[int, tuple[bytes, float]]] = {k: {} for k in views}
+        for to, value, n in _lists(exchange, float(y.mean())):
+            mine = sure.where((F.col("to") == to) & (F.col("value") == value))
+            given[to] |= {r["doc_id"]: (r["x"], value) for r in mine.orderBy(F.col("doubt"), "doc_id").limit(n).collect()}
         for k, new in given.items():
             if new:
-                x = _matrix(pa.array([b for _, b, _ in new], pa.binary()), views[k].shape[1])
-                train[k] = np.vstack([train[k][0], x]), np.concatenate([train[k][1], [v for _, _, v in new]])
-        taken |= {d for new in given.values() for d, _, _ in new}
-        models = {k: Logistic().fit(*train[k]) for k in views}
-    for k, m in models.items():
-        m.calibrate(views[k][held], y[held])
+                x = _matrix(pa.array([b for b, _ in new.values()], pa.binary()), views[k].shape[1])
+                train[k] = np.vstack([train[k][0], x]), np.concatenate([train[k][1], [v for _, v in new.values()]])
+            taken |= set(new)
+        models = {k: _fitted(*train[k], v[held], y[held]) for k, v in views.items()}
     return _scored(all_, models).select("doc_id", "p_content", "p_meta", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _scored(features: DataFrame, models: dict[str, Logistic], raw: bool = False) -> DataFrame:
+def _fitted(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> Logistic:
+    model = Logistic().fit(x, y)
+    model.calibrate(held_x, held_y)
+    return model
+
+
+def _lists(exchange: int, share: float) -> list[tuple[str, float, int]]:
+    """(view that is taught, label, rows at most) of the four lists of a round."""
+    n_good = max(1, round(exchange * share))
+    return [(to, value, n) for to in ("content", "meta") for value, n in ((1.0, n_good), (0.0, max(1, exchange - n_good)))]
+
+
+def _surest(rows: DataFrame, models: dict[str, Logistic], exchange: int, share: float, taken: set[int]) -> DataFrame:
+    """Of each task's rows those that may be among the surest of all, for all four lists in one pass: (to, value, doubt, doc_id, x)."""
+    out_of = np.array(sorted(taken), dtype=np.int64)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, float], list[tuple[float, int, bytes]]] = {}
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            free = ~np.isin(ids, out_of)
+            x = {k: batch.column(k).to_pylist() for k in models}
+            p = {k: np.round(m.chance(_matrix(batch.column(k), len(m.scale))), 6) for k, m in models.items()}
+            for to, value, n in _lists(exchange, share):
+                doubt = np.abs(value - p["meta" if to == "content" else "content"])
+                at = np.flatnonzero(free & (doubt <= 1 - CONFIDENT + 1e-9))
+                at = at[np.lexsort((ids[at], doubt[at]))][:n]
+                have = best.get((to, value), []) + [(float(doubt[i]), int(ids[i]), x[to][i]) for i in at]
+                best[to, value] = sorted(have)[:n]
+        for (to, value), mine in best.items():
+            yield pa.RecordBatch.from_pydict({"to": [to] * len(mine), "value": [value] * len(mine), "doubt": [d for d, _, _ in mine], "doc_id": pa.array([i for _, i, _ in mine], pa.int64()), "x": pa.array([b for *_, b in mine], pa.binary())},
+                schema=pa.schema([("to", pa.string()), ("value", pa.float64()), ("doubt", pa.float64()), ("doc_id", pa.int64()), ("x", pa.binary())]))
+
+    return rows.select("doc_id", "content", "meta").mapInArrow(over, "to string, value double, doubt double, doc_id long, x binary")
+
+
+def _scored(features: DataFrame, models: dict[str, Logistic]) -> DataFrame:
     a, b = models["content"], models["meta"]
     weigh = np.array([1 / max(a.loss, 1e-3), 1 / max(b.loss, 1e-3)])
     weigh /= weigh.sum()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, z = _matrix(batch.column("content"), _SHAPE + HASHED), _matrix(batch.column("meta"), META)
-            p, q = (a.raw(x), b.raw(z)) if raw else (a.chance(x), b.chance(z))
-            score = p if raw else 1 / (1 + np.exp(-(weigh[0] * np.log(p / (1 - p)) + weigh[1] * np.log(q / (1 - q)))))
-            cols = [batch.column("doc_id"), batch.column("content"), batch.column("meta")] if raw else [batch.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.round(v, 6), pa.float64()) for v in (p, q, score))], names=[*("doc_id content meta".split() if raw else ["doc_id"]), "p_content", "p_meta", "score"])
+            p, q = (m.chance(_matrix(batch.column(k), len(m.scale))) for k, m in models.items())
+            score = 1 / (1 + np.exp(-(weigh[0] * np.log(p / (1 - p)) + weigh[1] * np.log(q / (1 - q)))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.round(v, 6), pa.float64()) for v in (p, q, score))], names=["doc_id", "p_content", "p_meta", "score"])
 
-    return features.select("doc_id", "content", "meta").mapInArrow(over, ("doc_id long, content binary, meta binary, " if raw else "doc_id long, ") + "p_content double, p_meta double, score double")
+    return features.select("doc_id", "content", "meta").mapInArrow(over, "doc_id long, p_content double, p_meta double, score double")
