@@ -428,3 +428,53 @@ def test_line_dedup_tells_repeated_ids_apart(spark):
     rows = [(0, "a\nb\nc"), (1, "p\na\nb\nc"), (1, "q\nr\ns\nt\nu"), (1, "v\nw"), (2, "p\na\nb\nc")]
     done = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
     assert sorted(map(tuple, done)) == [(0, "a\nb\nc"), (1, "p"), (1, "q\nr\ns\nt\nu"), (1, "v\nw"), (2, "")]
+
+
+def two_views(n, rng):
+    """Documents whose words and whose source each tell the class, on their own, most of the time."""
+    rows = []
+    for i in range(n):
+        y = rng.random() < 0.5
+        words = [f"{'g' if y == (rng.random() < 0.6) else 'b'}{rng.randrange(150)}" for _ in range(30)]
+        rows.append((i, " ".join(words), "en", f"s{rng.randrange(4) + (0 if y == (rng.random() < 0.99) else 4)}", 100, int(y)))
+    return rows
+
+
+def test_views_share_no_input(spark):
+    rows = two_views(400, random.Random(3))
+    frame = lambda rows: spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:200]], "doc_id long, quality int")
+    good, bad = (" ".join(f"{k}{rows[0][0] + 5 * i}" for i in range(30)) for k in "gb")
+    extra = [(1000, good, "en", "s1", 100, 0), (1001, bad, "en", "s1", 100, 0), (1002, good, None, None, None, 0)]
+    got = {r["doc_id"]: r for r in cotraining.classify(frame(rows + extra), labels).collect()}
+    assert got[1000]["p_meta"] == got[1001]["p_meta"] and got[1000]["p_content"] != got[1001]["p_content"]
+    assert got[1000]["p_content"] == got[1002]["p_content"]
+
+
+def test_exchange_helps_where_labels_are_few(spark):
+    rows = two_views(3000, random.Random(5))
+    frame = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:250]], "doc_id long, quality int")
+    truth = {r[0]: r[5] for r in rows[250:]}
+
+    def right(rounds):
+        got = cotraining.classify(frame, labels, rounds=rounds).where("doc_id >= 250").collect()
+        return sum((r["p_content"] >= 0.5) == truth[r["doc_id"]] for r in got) / len(truth)
+
+    assert right(3) > right(0) + 0.02
+
+
+def test_surest_are_those_of_a_plain_sort(spark):
+    rng = np.random.default_rng(2)
+    x, z = rng.normal(size=(500, 4)).astype("<f4"), rng.normal(size=(500, 3)).astype("<f4")
+    y = (x[:, 0] + z[:, 0] > 0).astype(float)
+    models = {"content": cotraining._fitted(x, y, x, y), "meta": cotraining._fitted(z, y, z, y)}
+    frame = spark.createDataFrame([(i, a.tobytes(), b.tobytes()) for i, (a, b) in enumerate(zip(x, z, strict=True))], "doc_id long, content binary, meta binary").repartition(5)
+    taken = set(range(0, 500, 7))
+    found = cotraining._surest(frame, models, 20, 0.7, taken).collect()
+    p = {"meta": np.round(models["content"].chance(x), 6), "content": np.round(models["meta"].chance(z), 6)}
+    for to, value, n in cotraining._lists(20, 0.7):
+        plain = sorted((abs(value - p[to][i]), i) for i in range(500) if i not in taken and abs(value - p[to][i]) <= 1 - cotraining.CONFIDENT)[:n]
+        mine = sorted((r["doubt"], r["doc_id"], r["x"]) for r in found if r["to"] == to and r["value"] == value)[:n]
+        assert [(round(d, 6), i) for d, i, _ in mine] == [(round(d, 6), i) for d, i in plain]
+        assert all(b == (x if to == "content" else z)[i].tobytes() for _, i, b in mine)
