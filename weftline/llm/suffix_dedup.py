@@ -301,9 +301,10 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     every = kinds.join(split.where("parts > 1"), "anchor").select("segment", "anchor", "bytes").mapInArrow(_windows, "segment binary, anchor long, place int, w1 long, w2 long")
     late = every.join(met, ["anchor", "w1", "w2"]).groupBy("segment").agg(F.flatten(F.collect_list(F.array("place", F.lit(1)))).alias("runs"))
     runs = solved.select("segment", "runs").where("size(runs) > 0").unionByName(late.select("segment", F.col("runs").cast("array<int>")))
-    runs = runs.groupBy("segment").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # Written before it is joined, as above: the rows of a very frequent segment can then be split.
+    runs = stage(runs.groupBy("segment").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
 
-    spans = found.select("segment", "doc_id", "mark", "place").join(runs, "segment").select(
+    spans = found.select("segment", "doc_id", "mark", "place").join(runs.hint("shuffle_hash"), "segment").select(
         "doc_id", "mark", F.explode(F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda i: F.struct(
             (F.col("place") + F.get("runs", (2 * i).cast("int"))).alias("a"), (F.col("place") + F.get("runs", (2 * i).cast("int")) + F.get("runs", (2 * i + 1).cast("int")) + LENGTH - 1).alias("b")
         ))).alias("span"),
