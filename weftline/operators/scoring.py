@@ -58,6 +58,31 @@ def davies_bouldin(assigned: DataFrame, centres: list[list[float]]) -> float:
     return float(np.mean(worst)) if worst else 0.0
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    average_distance: float
+    davies_bouldin: float
+    mutual_information: float | None
+
+
+def evaluate(assigned: DataFrame, centres: list[list[float]], label: str | None = None) -> Evaluation:
+    """Mean distance to the nearest centre, Davies-Bouldin index and, with a label, mutual information of clusters and
+    labels over the mean of their entropies. Only counts by cluster and label reach the driver. No rows: zeros."""
+    mean = assigned.agg(F.avg("distance")).first()[0] or 0.0
+    shared = None
+    if label is not None:
+        by = {(r[0], r[1]): r[2] for r in assigned.groupBy("cluster", label).agg(F.count("*")).collect()}
+        n = sum(by.values())
+        sides: list[dict] = [{}, {}]
+        for key, k in by.items():
+            for side, x in zip(sides, key, strict=True):
+                side[x] = side.get(x, 0) + k
+        entropy = [-sum(k / n * np.log(k / n) for k in side.values()) for side in sides]
+        both = sum(k / n * np.log(k * n / (sides[0][a] * sides[1][b])) for (a, b), k in by.items())
+        shared = float(2 * both / sum(entropy)) if sum(entropy) > 0 else 0.0
+    return Evaluation(mean, davies_bouldin(assigned, centres), shared)
+
+
 @dataclass
 class Clusters:
     centres: list[list[float]]

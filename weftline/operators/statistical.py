@@ -32,6 +32,15 @@ def candidates(deltas: DataFrame) -> DataFrame:
     return deltas.where("rank > 1").groupBy("direction").agg(q(0.25).alias("q25"), q(0.5).alias("q50"), F.avg("delta").alias("mean"), q(0.75).alias("q75"))
 
 
+def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """count, mean, std (of a sample), min, quartiles with linear interpolation and max of a column, by group; nulls aren't counted."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    return df.groupBy(*by).agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
+        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(value).alias("max"),
+    )
+
+
 def exploded(cands: DataFrame) -> DataFrame:
     """(direction, ord, candidate): the positive candidates in scan order."""
     return cands.select("direction", F.posexplode(F.array("q25", "q50", "mean", "q75")).alias("ord", "candidate")).where("candidate > 0")

@@ -80,6 +80,13 @@ heard AS (SELECT model, win, CASE WHEN model IN (SELECT model FROM golden) THEN
 span AS (SELECT model, unnest(range((SELECT min(win) FROM te), max(win) + 1)) AS win FROM te GROUP BY model),
 dist AS (SELECT model, win, coalesce(distance, CASE WHEN model IN (SELECT model FROM golden WHERE word <> '') THEN 1e0 ELSE 0e0 END) AS distance FROM span LEFT JOIN heard USING (model, win))"""
 
+
+
+def _near(centre: float) -> str:
+    """Squared distance of a flow, scaled as the watched profile is, to a centre that is the same on every axis."""
+    return " + ".join(f"({c} / {s}e0 - {centre}e0) ** 2" for c, s in (("fwd_packets", 10), ("fwd_octets", 10000), ("rev_packets", 10), ("rev_octets", 10000)))
+
+
 _V = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8))
 _VEC = f"WITH v AS (SELECT vec_id, label, {_V} FROM embeddings)"
 
@@ -95,6 +102,7 @@ va{n} AS (SELECT cluster, CASE WHEN count(distance) < 2 THEN 1.401298464324817e-
 
 
 _ENSEMBLE = _VEC + "".join(_clusters(k, str(i)) for i, k in enumerate((10, 5, 2))) + "".join(f", sc{i} AS (SELECT vec_id, 1 - least(distance / (6 * sqrt(variance)), 1e0) AS s{i} FROM a{i} JOIN va{i} USING (cluster))" for i in range(3)) + ", sc AS (SELECT * FROM sc0 JOIN sc1 USING (vec_id) JOIN sc2 USING (vec_id))"
+_DB = ", s AS (SELECT cluster, avg(sqrt(distance)) AS s FROM a0 GROUP BY cluster), q AS (SELECT x.cluster, max((x.s + y.s) / sqrt(" + " + ".join(f"(c.g{i} - e.g{i}) ** 2" for i in range(8)) + ")) AS w FROM s x JOIN s y ON x.cluster <> y.cluster JOIN ce0 c ON c.cluster = x.cluster JOIN ce0 e ON e.cluster = y.cluster GROUP BY x.cluster)"
 _JUDGED = "WITH j AS (SELECT quality = 1 AS t, n_chars > 1000 AS p, least(n_chars / 5000e0, 1e0) AS score FROM labels JOIN documents USING (doc_id))"
 
 ORACLES: dict[str, str] = {
@@ -118,6 +126,7 @@ ORACLES: dict[str, str] = {
     "goose_tag_pivot": _p(" SELECT client, server, CAST(sum(octets) AS BIGINT) AS bytes, count(DISTINCT k % 7) AS n_states, count(DISTINCT substr(md5(event_type || '|' || cot), 1, 8)) AS n_tags FROM p GROUP BY client, server"),
     "sp_pairs": _p(_deltas() + " SELECT seq, pair, src = first_value(src) OVER (PARTITION BY pair ORDER BY seq) AS canonical FROM d"),
     "sp_interarrival": _p(_deltas() + " SELECT seq, direction, rank, round(delta, 6) AS delta FROM i"),
+    "sp_describe": _p(_deltas() + " SELECT direction, count(*) AS count, " + ", ".join(f"round({e} + 1e-7, 6) AS {n}" for n, e in (("mean", "avg(delta)"), ("std", "stddev_samp(delta)"), ("min", "min(delta)"), ("q25", "quantile_cont(delta, 0.25)"), ("q50", "quantile_cont(delta, 0.5)"), ("q75", "quantile_cont(delta, 0.75)"), ("max", "max(delta)"))) + " FROM i GROUP BY direction"),
     "sp_candidates": _p(_deltas() + _CANDIDATES + " SELECT direction, round(q25 + 1e-7, 6) AS q25, round(q50 + 1e-7, 6) AS q50, round(mean + 1e-7, 6) AS mean, round(q75 + 1e-7, 6) AS q75 FROM q"),
     "sp_window_counts": _p(_deltas() + _placed() + _counts() + " SELECT * FROM c"),
     "sp_window_counts_event_time": _p(_deltas() + _placed(event_time=True) + _counts() + " SELECT * FROM c"),
@@ -152,7 +161,8 @@ ORACLES: dict[str, str] = {
     "ml_avg_features": "WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(list_min(e), 5) AS min, round(list_max(e), 5) AS max, round(list_avg(e), 5) AS mean, round(list_stddev_pop(e), 5) AS std FROM v",
     "ml_assign_fixed_centroids": _VEC + _clusters(10, "0") + " SELECT vec_id, CAST(cluster AS INT) AS cluster, round(distance, 5) AS distance FROM a0",
     "ml_cluster_variance": _VEC + _clusters(10, "0") + " SELECT CAST(cluster AS INT) AS cluster, round(variance, 5) AS variance FROM va0",
-    "ml_davies_bouldin": _VEC + _clusters(10, "0") + ", s AS (SELECT cluster, avg(sqrt(distance)) AS s FROM a0 GROUP BY cluster), q AS (SELECT x.cluster, max((x.s + y.s) / sqrt(" + " + ".join(f"(c.g{i} - e.g{i}) ** 2" for i in range(8)) + ")) AS w FROM s x JOIN s y ON x.cluster <> y.cluster JOIN ce0 c ON c.cluster = x.cluster JOIN ce0 e ON e.cluster = y.cluster GROUP BY x.cluster) SELECT round(avg(w), 5) AS db FROM q",
+    "ml_davies_bouldin": _VEC + _clusters(10, "0") + _DB + " SELECT round(avg(w), 5) AS db FROM q",
+    "ml_evaluation": _VEC + _clusters(10, "0") + _DB + ", k AS (SELECT cluster, label, count(*) AS n FROM a0 JOIN v USING (vec_id) GROUP BY ALL), t AS (SELECT *, CAST(sum(n) OVER () AS DOUBLE) AS w, sum(n) OVER (PARTITION BY cluster) AS c, sum(n) OVER (PARTITION BY label) AS l FROM k) SELECT (SELECT round(avg(distance), 5) FROM a0) AS average_distance, (SELECT round(avg(w), 5) FROM q) AS db, round(2 * sum(n / w * ln(n * w / (c * l))) / -sum(n / w * (ln(c / w) + ln(l / w))), 5) AS nmi FROM t",
     "ml_scores": _ENSEMBLE + " SELECT vec_id, round(s0, 5) AS s0, round(s1, 5) AS s1, round(s2, 5) AS s2 FROM sc",
     "ml_ensemble": _ENSEMBLE + " SELECT vec_id, round(greatest(s0, s1, s2), 5) AS max_score, round(least(s0, s1, s2), 5) AS min_score, round((s0 + s1 + s2) / 3, 5) AS average_score, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS best_model FROM sc",
     "ml_detected": _ENSEMBLE + " SELECT vec_id, round((s0 + s1 + s2) / 3, 5) AS average_score FROM sc WHERE (s0 + s1 + s2) / 3 >= 0 AND (s0 + s1 + s2) / 3 < 0.6",
@@ -163,4 +173,5 @@ ORACLES: dict[str, str] = {
     "plc_on_delay": _p(", a AS (SELECT *, event_type <> 'error' AS v, sum(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS r FROM p) SELECT seq, v AND coalesce(rel_time - min(CASE WHEN v THEN rel_time END) OVER (PARTITION BY user_id, r ORDER BY seq ROWS UNBOUNDED PRECEDING) >= 172800, false) AS delayed FROM a"),
     "plc_moving_stats": _p(", a AS (SELECT seq, sum(octets) OVER w AS s, min(octets) OVER w AS lo, max(octets) OVER w AS hi, count(*) OVER w AS c FROM p WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS 49 PRECEDING)) SELECT seq, round(s / 50e0, 6) AS avg_n, CAST(CASE WHEN c < 50 THEN least(lo, 0) ELSE lo END AS DOUBLE) AS min_n, CAST(CASE WHEN c < 50 THEN greatest(hi, 0) ELSE hi END AS DOUBLE) AS max_n FROM a"),
     "st_watch_flows": _p(" " + _FLOW),
+    "st_watch_scores": _p(f", f AS ({_FLOW}), d AS (SELECT proto, client, server, server_port, window_start, {_near(0.1)} AS a, {_near(0.5)} AS b, {_near(0.2)} AS c FROM f), s AS (SELECT *, 1 - least(least(a, b) / (6 * sqrt(CASE WHEN a <= b THEN 0.05e0 ELSE 0.2e0 END)), 1e0) AS s0, 1 - least(c / (6 * sqrt(0.1e0)), 1e0) AS s1 FROM d) SELECT proto, client, server, server_port, window_start, round(s0, 6) AS s0, round(s1, 6) AS s1, round((s0 + s1) / 2, 6) AS average_score FROM s"),
 }

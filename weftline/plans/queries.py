@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import functions as X
+from weftline import streaming
 from weftline.operators import automata as A
 from weftline.operators import flow, iec, plc, scoring
 from weftline.operators import statistical as S
@@ -145,6 +146,12 @@ def sp_interarrival(spark, d):
     return _deltas(spark, d).select("seq", "direction", "rank", F.round("delta", 6).alias("delta"))
 
 
+@query
+def sp_describe(spark, d):
+    t = S.describe(_deltas(spark, d), "delta", "direction")
+    return t.select("direction", "count", *(_micros(c) for c in t.columns if c not in ("direction", "count")))
+
+
 @query
 def sp_candidates(spark, d):
     return S.candidates(_deltas(spark, d)).select("direction", *(_micros(c) for c in ("q25", "q50", "mean", "q75")))
@@ -382,6 +389,13 @@ def ml_davies_bouldin(spark, d):
     return spark.createDataFrame([(round(scoring.davies_bouldin(a, centres), 5),)], "db double")
 
 
+@query
+def ml_evaluation(spark, d):
+    a, centres = _fixed(spark, d)
+    e = scoring.evaluate(a, centres, "label")
+    return spark.createDataFrame([(round(e.average_distance, 5), round(e.davies_bouldin, 5), round(e.mutual_information, 5))], "average_distance double, db double, nmi double")
+
+
 def _ensemble(spark, d):
     v = D.vectors(spark, d)
     models = []
@@ -456,11 +470,8 @@ def plc_moving_stats(spark, d):
     return m.select("seq", F.round("avg_n", 6).alias("avg_n"), F.col("min_n").cast("double").alias("min_n"), F.col("max_n").cast("double").alias("max_n"))
 
 
-@query
-def st_watch_flows(spark, d):
-    """events through a file stream: windows close behind the watermark, the last ones behind a row that stands after all."""
-    from weftline import streaming
-
+def _watched(spark, d):
+    """(events as a file stream of flows, the folder of the stream): windows close behind the watermark, the last ones behind a row that stands after all."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     top = f"{shared.rstrip('/')}/weftline/stream-{uuid.uuid4().hex}"
     p = D.packets(spark, d).select("seq", F.timestamp_micros("us").alias("ts"), "us", "up", "octets", "proto", "src_ip", "dst_ip", "src_port", "dst_port")
@@ -468,7 +479,31 @@ def st_watch_flows(spark, d):
     end = p.agg(F.max("us").alias("us")).select(F.lit(-1).cast("long").alias("seq"), F.timestamp_micros(F.col("us") + 3 * D.DAY_US).alias("ts"), (F.col("us") + 3 * D.DAY_US).alias("us"), F.lit(True).alias("up"), F.lit(0).cast("long").alias("octets"), F.lit("-").alias("proto"), *(F.lit("-").alias(c) for c in ("src_ip", "dst_ip")), *(F.lit(0).alias(c) for c in ("src_port", "dst_port")))
     end.write.parquet(f"{top}/in/part=1")
     stream = streaming.replay(spark, f"{top}/in/part=*", p.schema, 1000)
-    flows = streaming.windowed_flows(stream, X.multiflow_key(), "1 day")
+    return streaming.windowed_flows(stream, X.multiflow_key(), "1 day"), top
+
+
+@query
+def st_watch_flows(spark, d):
+    flows, top = _watched(spark, d)
     q = flows.writeStream.outputMode("append").option("checkpointLocation", f"{top}/state").format("parquet").option("path", f"{top}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return _key(spark.read.schema(flows.schema).parquet(f"{top}/out").where("flow_key.proto <> '-'"))
+
+
+#: Two fixed models of a flow's packets and octets to both sides.
+WATCHED = scoring.Profile("direct", [10.0, 1e4, 10.0, 1e4], [], [], [scoring.Clusters([[0.1] * 4, [0.5] * 4], [0.05, 0.2]), scoring.Clusters([[0.2] * 4], [0.1])], ["fwd_packets", "fwd_octets", "rev_packets", "rev_octets"])
+
+
+@query
+def st_watch_scores(spark, d):
+    """Each closed window scored as it closes; a batch that runs again overwrites what it wrote."""
+    flows, top = _watched(spark, d)
+    out = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        out.append(batch.schema)
+        batch.write.mode("overwrite").parquet(f"{top}/scores/batch={number}")
+
+    streaming.watch(flows, WATCHED, WATCHED.features, sink, f"{top}/state", once=True).awaitTermination()
+    scored = spark.read.schema(out[0]).option("basePath", f"{top}/scores").parquet(f"{top}/scores/batch=*").where("flow_key.proto <> '-'")
+    return _key(scored.select("flow_key", "window_start", *(F.round(F.get("scores", F.lit(i)), 6).alias(f"s{i}") for i in range(2)), F.round("average_score", 6).alias("average_score")))

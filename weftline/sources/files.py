@@ -110,6 +110,20 @@ def read_register_map(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("Name").alias("name"), "Type", F.regexp_extract("Address", r"^\s*(.*?)\s*(\d+)\s*$", 1).alias("register"), F.regexp_extract("Address", r"(\d+)\s*$", 1).try_cast("int").alias("index"))
 
 
+def flatten(df: DataFrame, records: str) -> DataFrame:
+    """A row for each record of lists of records; null and empty lists give none."""
+    return df.select(F.explode(records).alias("_record")).select("_record.*")
+
+
+def choose_input(capture: str | None = None, speed: float = 0.0, device: str | None = None, index: int | None = None) -> tuple[str, str | int | None]:
+    """Which of the given inputs is read: a capture with a speed above 0 is replayed, one without is read, then a device by name, then by index."""
+    if capture:
+        return ("replay" if speed > 0 else "read", capture)
+    if device:
+        return ("device", device)
+    return ("none", None) if index is None else ("device", index)
+
+
 PROTOCOLS = {"modbus": read_flows, "iec": read_iec}
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Iterator
+from pathlib import Path
+from typing import TextIO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftline.operators.automata import Automaton
@@ -48,20 +52,75 @@ def markdown(df: DataFrame) -> Iterator[str]:
 WRITERS = {"csv": write_csv, "json": write_json, "yaml": yaml, "markdown": markdown}
 
 
+def write_iec_dump(df: DataFrame, path: str) -> str:
+    """Windowed flows beside their input, at <path>.dump.csv: arrays of numbers as [a,b], of tags as a,b."""
+    def cell(name: str, kind: str):
+        text = F.array_join(F.transform(name, lambda x: x.cast("string")), ",", "")
+        return text if kind == "array<string>" else F.concat(F.lit("["), text, F.lit("]")) if kind.startswith("array") else F.col(name)
+
+    out = f"{path}.dump.csv"
+    df.select(*(cell(c, t).alias(c) for c, t in df.dtypes)).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(out)
+    return out
+
+
+class RowWriter:
+    """Begin, append any number of tables, end; a header is written once. For reports that one reader takes in, such as the batches of a watched stream."""
+
+    def __init__(self, out: TextIO, kind: str) -> None:
+        if kind not in WRITERS:
+            raise NotImplementedError(f"no writer for {kind}")
+        self.out, self.kind, self.columns = out, kind, None
+
+    def begin(self, columns: list[str]) -> None:
+        if self.columns is not None:
+            raise ValueError("the writer has begun")
+        self.columns = columns
+        if self.kind == "csv":
+            self._line(columns)
+        elif self.kind == "markdown":
+            self.out.write("| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n")
+
+    def append(self, df: DataFrame) -> None:
+        if self.columns is None:
+            self.begin(df.columns)
+        for row in df.select(*self.columns).toLocalIterator():
+            self._row(row)
+
+    def end(self) -> None:
+        self.out.flush()
+        self.columns = None
+
+    def _line(self, cells: list) -> None:
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerow(cells)
+        self.out.write(text.getvalue())
+
+    def _row(self, row: Row) -> None:
+        cells = row.asDict(True)
+        if self.kind == "csv":
+            self._line([v if isinstance(v, str) else json.dumps(v, default=str) for v in cells.values()])
+        elif self.kind == "json":
+            self.out.write(json.dumps(cells, default=str, ensure_ascii=False) + "\n")
+        elif self.kind == "yaml":
+            self.out.writelines(f"{'  ' if i else '- '}{_camel(k)}: {json.dumps(v, default=str, ensure_ascii=False)}\n" for i, (k, v) in enumerate(cells.items()))
+        else:
+            self.out.write("| " + " | ".join(str(v) for v in cells.values()) + " |\n")
+
+
 def automaton_text(a: Automaton) -> str:
     """The start state, an edge a line, a final weight a line."""
     edges, ends = a.table()
     return "\n".join(["0", *(f'{q} {to} "{s}" {p:g}' for q, s, to, p in edges), *(f"{q} {p:g}" for q, p in enumerate(ends) if p)]) + "\n"
 
 
-def automaton_dot(a: Automaton, most: int = 25) -> str:
-    """A graph with one edge for each pair of states, labelled with its symbols."""
+def automaton_dot(a: Automaton, most: int = 25, each: bool = False) -> str:
+    """A graph with one edge for each pair of states, labelled with its symbols, or one for each transition."""
     edges, ends = a.table()
-    by: dict[tuple[int, int], list[str]] = {}
+    by: dict[tuple, list[str]] = {}
     for q, s, to, p in edges:
-        by.setdefault((q, to), []).append(f"{s}: {p:.3g}".replace('"', '\\"'))
+        by.setdefault((q, to, s) if each else (q, to), []).append(f"{s}: {p:.3g}".replace('"', '\\"'))
     body = [f'  {q} [shape={"doublecircle" if p else "circle"}, label="{q}: {p:.2g}"];' for q, p in enumerate(ends)]
-    body += [f'  {q} -> {to} [label="{chr(92) + "n"}"];'.replace('"\\n"', '"' + "\\n".join(x[:most] + ["..."] * (len(x) > most)) + '"') for (q, to), x in by.items()]
+    body += [f'  {q} -> {to} [label="{chr(92) + "n"}"];'.replace('"\\n"', '"' + "\\n".join(x[:most] + ["..."] * (len(x) > most)) + '"') for (q, to, *_), x in by.items()]
     return "digraph {\n  rankdir=LR;\n" + "\n".join(body) + "\n}\n"
 
 
@@ -69,6 +128,14 @@ def automaton_name(stem: str, alpha: float | None = None, t0: int | None = None,
     return f"{stem}-pta.{kind}" if alpha is None else f"{stem}a{alpha}t{t0}.{kind}"
 
 
+def store_automaton(a: Automaton, stem: str, alpha: float | None = None, t0: int | None = None) -> list[str]:
+    """Writes the text and the graph of a model beside each other; the names written."""
+    names = [automaton_name(stem, alpha, t0, kind) for kind in ("fa", "dot")]
+    for name, text in zip(names, (automaton_text(a), automaton_dot(a)), strict=True):
+        Path(name).write_text(text)
+    return names
+
+
 def report(distances: DataFrame, last: int) -> Iterator[str]:
     """window;value lines of each pair, without the window of the given number."""
     pair = None
