@@ -429,7 +429,7 @@ def ml_pca3(spark, d):
 @query
 def ml_kmeans_profile(spark, d):
     v = D.vectors(spark, d)
-    return scoring.build_profile(v, ks=(3, 4, 5), top=2).score(v).select("vec_id", F.round("average_score", 5).alias("average_score"), "best_model")
+    return scoring.build_profile(v).score(v).select("vec_id", F.round("average_score", 5).alias("average_score"), "best_model")
 
 
 def _judged(spark, d):
