@@ -198,6 +198,11 @@ def test_numbers_and_windows(spark):
     assert flow.windows_within(10, 3) == 4 and flow.windows_within(1e30, 1) == 2**31 - 1
 
 
+def test_numbers_of_many_small_ranges(spark):
+    df = spark.createDataFrame([(x,) for x in (1, 2, 3, 500, 501, 9000)], "o long")
+    assert [r["rn"] for r in flow.numbered(df, "o", 2, 1).orderBy("o").collect()] == [1, 2, 3, 4, 5, 6]
+
+
 def test_watch_scores_a_stream(spark, tmp_path):
     from weftline import streaming
     from weftline.sources import adapters

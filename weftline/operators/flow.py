@@ -98,11 +98,14 @@ def zip_labels(packets: DataFrame, labels: DataFrame, order: str = "seq", label_
     return numbered(packets, order).join(numbered(labels, label_order).withColumnRenamed(label_order, "_o"), "rn").drop("_o")
 
 
-def numbered(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """rn: 1, 2, ... in the order of a unique whole-number column; counts by range come first, so that no task numbers all rows."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
+def numbered(df: DataFrame, order: str, buckets: int = 64, bucket_rows: int = 500_000) -> DataFrame:
+    """rn: 1, 2, ... in the order of a unique whole-number column; counts by range come first, so that no task numbers all rows.
+
+    There are `buckets` ranges, or as many as it takes for bucket_rows rows each if the numbers are spread evenly."""
+    low, high, rows = df.agg(F.min(order), F.max(order), F.count("*")).first()
     if low is None:
         return df.withColumn("rn", F.lit(0).cast("long"))
+    buckets = max(buckets, -(-rows // bucket_rows))
     bucket = F.floor((F.col(order) - low) / F.lit((high - low) // buckets + 1)).cast("long")
     placed = df.withColumn("_b", bucket)
     before = placed.groupBy("_b").agg(F.count("*").alias("_n"))
