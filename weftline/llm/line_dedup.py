@@ -33,6 +33,8 @@ from weftline.llm.common import held, stage, tune, unused
 
 #: Lines, or words in fewer lines, that make a repeated run.
 RUN, LONG = 3, 50
+#: Fingerprints that a task hands over at a time.
+FLUSH = 5_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -72,18 +74,27 @@ def _fingerprints(run: int, long: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        cols: dict[str, list] = {k: [] for k in ("mark", "id", "copy", "place", "reach")}
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), _REACH)
+            signed = np.frombuffer(b"".join(cols["mark"]), dtype="<i8")
+            out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((signed, *list(cols.values())[1:]), kinds, strict=True)], names=list(cols))
+            for v in cols.values():
+                v.clear()
+            return out
+
         for batch in batches:
-            mark, ids, copies, places, reach = [], [], [], [], []
             for d, c, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 _, words, keys = keyed(text)
                 for p, mine in winnow(words, keys, run, long).items():
-                    mark.append(keys[p][:8])
-                    ids.append(d)
-                    copies.append(c)
-                    places.append(p)
-                    reach.append([{"start": s, "n": n, "run": xxh3_128_digest(b"".join(keys[s : s + n]))} for s, n in mine])
-            signed = np.frombuffer(b"".join(mark), dtype="<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(places, pa.int32()), pa.array(reach, _REACH)], names=["mark", "id", "copy", "place", "reach"])
+                    found = [{"start": s, "n": n, "run": xxh3_128_digest(b"".join(keys[s : s + n]))} for s, n in mine]
+                    for k, v in zip(cols, (keys[p][:8], d, c, p, found), strict=True):
+                        cols[k].append(v)
+                    if len(cols["mark"]) >= FLUSH:
+                        yield flush()
+            if cols["mark"]:
+                yield flush()
 
     return over
 
