@@ -178,6 +178,24 @@ def test_every_window_holds_its_mixture():
     assert max(np.abs(np.cumsum(windows, 0)[:-1] - 2048 * share * np.arange(1, len(windows))[:, None]).max(), 0) <= 3
 
 
+@pytest.mark.parametrize("sources", [1, 7, 2000])
+def test_sources_keep_their_share_of_every_window(spark, sources):
+    """However many sources there are, each has served its share of the stream up to any window's end, across blocks, within 3 tokens."""
+    rng = random.Random(sources)
+    names = [f"s{int(sources * rng.random() ** 3)}" if sources > 1 else None for _ in range(6000)]
+    rows = spark.createDataFrame([(i, prose(rng, rng.randrange(1, 12)), s) for i, s in enumerate(names)], "doc_id long, text string, source string").repartition(5)
+    width, windows = 512, 8
+    pieces = packing.pack(rows, width=width, windows=windows).drop("ids").toPandas()
+    pieces["source"] = [names[d] or "" for d in pieces["doc_id"]]
+    assert pieces.groupby("sequence_id")["length"].sum().iloc[:-1].eq(width).all()
+    assert pieces["sequence_id"].nunique() > 3 * windows
+    held = pieces.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0).sort_index()
+    whole = held.to_numpy().sum()
+    at = held.sum(axis=1).cumsum().to_numpy()
+    due = at[:, None] * held.sum(axis=0).to_numpy()[None, :] / whole
+    assert np.abs(held.cumsum().to_numpy() - due).max() <= 3
+
+
 def test_line_dedup(docs, empty, spark):
     got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
     assert len(got) == len(corpus())

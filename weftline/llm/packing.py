@@ -1,10 +1,14 @@
 """Mixture-controlled packing (operator 7): deficit round-robin over source queues fills windows of `width` tokens.
 
-Documents are tokenised once and staged as 16-bit ids. Each source is a queue in the order in which tasks read
-its documents; a document's place in it comes from two-level prefix sums. The queues are cut into blocks of `windows` windows by closed
-form; inside a block a deficit round-robin gives every source its quota of each window and carries what is left to the
-next one. Quotas are the sources' shares of all tokens, so all queues end together and only the very last window is
-padded. No queue is ever gathered in one task.
+Documents are tokenised once and staged as 16-bit ids. Each source, however many there are, is a queue in the order in
+which tasks read its documents; a document's place in it comes from two-level prefix sums. A queue of t of all T tokens
+has served (t * x + phase) div T of them where x tokens of the mixture are due; its phase, below T, comes from the hash
+of its source, so that small sources don't all serve in the same block. Queues are cut by that form into blocks of about
+`windows` windows. Where a block begins in the packed stream is the sum of what all queues have served before; nothing
+of it passes through the driver. Inside a block a deficit round-robin credits every source with its share of each
+window, and the deficits at the end of a block are those with which the next one begins, so the proportions hold in
+every window, also in one that two blocks share. All queues end together and only the very last window is padded. No
+queue is ever gathered in one task.
 
 Defined results: a null text is an empty document, which is its end token alone; a null source is a queue of its own;
 repeated rows are packed as often as they come; an empty table gives an empty result; extra columns are not read.
@@ -28,8 +32,8 @@ from weftline.llm.common import stage, tune
 WIDTH, END = 2048, 1
 #: Windows of a block.
 WINDOWS = 256
-#: Queues; more sources than this share queues by hash.
-QUEUES = 1024
+#: Blocks whose starts one row is exploded into.
+RANGE = 10_000
 
 
 def tokenizer_path() -> str:
@@ -78,7 +82,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return encode
 
 
-def tokenised(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", source: str = "source", end: int = END, queues: int = QUEUES) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", source: str = "source", end: int = END) -> DataFrame:
     """(doc_id, queue, part, within, n, ids): the ids, with the end token, as little-endian 16-bit numbers; within is the
     number of tokens that the same queue has before in the same part, a part being what one task reads."""
     tune(docs.sparkSession)
@@ -98,117 +102,98 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc
                 names=["doc_id", "queue", "part", "within", "n", "ids"],
             )
 
-    named = docs.select(F.col(source).cast("string").alias("source"))
-    few = named.agg(F.approx_count_distinct(F.coalesce("source", F.lit("")))).first()[0] <= queues // 2
-    queue = F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(1 << 40 if few else queues)).cast("long")
+    queue = F.xxhash64(F.col(source).cast("string"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(over, "doc_id long, queue long, part long, within long, n long, ids binary")
 
 
-def used(totals: np.ndarray, tokens: np.ndarray | int) -> np.ndarray:
-    """How many tokens of each queue the first `tokens` tokens of the packed stream hold: its share rounded down, and for the largest queue the rest."""
-    whole, big = int(totals.sum()), int(totals.argmax())
-    out = np.array([int(t) * int(tokens) // whole for t in totals], dtype=np.int64)
-    out[big] = 0
-    out[big] = int(tokens) - out.sum()
+def granted(order: np.ndarray, most: np.ndarray, need: int) -> np.ndarray:
+    """need tokens, given in this order, to each at most so many."""
+    out, most = np.zeros(len(order), dtype=np.int64), most[order]
+    out[order] = np.clip(need - (np.cumsum(most) - most), 0, most)
     return out
 
 
-def quotas(take: np.ndarray, width: int) -> Iterator[np.ndarray]:
+def quotas(take: np.ndarray, width: int, first: int | None = None, share: np.ndarray | None = None, deficit: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Deficit round-robin: in each window every queue is credited with its quantum and served whole tokens of it; what
-    the window still lacks goes to the largest deficits, which fall below zero and are carried on."""
-    left, deficit = take.copy(), np.zeros(len(take))
+    the window still lacks goes to the largest deficits, which fall below zero and are carried on. `first` is the room of
+    the first window, `share` the queues' part of the mixture, `deficit` what was carried so far."""
+    left, deficit = take.copy(), np.zeros(len(take)) if deficit is None else deficit.copy()
+    share, room = take / max(1, take.sum()) if share is None else share, first or width
     while left.sum():
-        room = min(width, int(left.sum()))
-        deficit += take * (room / take.sum())
+        room = min(room, int(left.sum()))
+        deficit += share * room
         serve = np.minimum(np.maximum(np.floor(deficit), 0).astype(np.int64), left)
-        over = int(serve.sum()) - room
-        for q in np.argsort(deficit - serve, kind="stable"):
-            if over <= 0:
-                break
-            cut = min(over, int(serve[q]))
-            serve[q] -= cut
-            over -= cut
-        for q in np.argsort(-(deficit - serve), kind="stable"):
-            if over >= 0:
-                break
-            more = min(int(left[q] - serve[q]), 1 if over > -len(take) else -over)
-            serve[q] += more
-            over += more
-        for q in np.argsort(-left, kind="stable"):
-            if over >= 0:
-                break
-            more = min(-over, int(left[q] - serve[q]))
-            serve[q] += more
-            over += more
+        lack = room - int(serve.sum())
+        if lack < 0:
+            serve -= granted(np.argsort(deficit - serve, kind="stable"), serve, -lack)
+        elif lack:
+            serve += granted(np.argsort(-(deficit - serve), kind="stable"), np.minimum(left - serve, 1), lack)
+            serve += granted(np.argsort(-left, kind="stable"), left - serve, room - int(serve.sum()))
         deficit -= serve
         left -= serve
+        room = width
         yield serve
 
 
+def starts(totals: DataFrame, whole: int, block: int) -> DataFrame:
+    """(block, first): where each block begins in the packed stream, from totals(queue, total)."""
+    count = -(-whole // block)
+    ranges = totals.select("queue", "total", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // RANGE))).alias("r")).repartition("queue", "r")
+    each = F.explode(F.sequence(F.col("r").cast("long") * RANGE, F.least((F.col("r").cast("long") + 1) * RANGE, F.lit(count)) - 1))
+    # Products of two token counts need more than 64 bits.
+    due = F.expr(f"(cast(total AS decimal(18, 0)) * cast(block * {block} AS decimal(18, 0)) + cast(pmod(queue, {whole}L) AS decimal(18, 0))) div cast({whole} AS decimal(18, 0))")
+    return ranges.select("queue", "total", each.alias("block")).groupBy("block").agg(F.sum(due).alias("first"))
+
+
 def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, windows: int = WINDOWS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (16-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     tokens = stage(tokenised(docs, path or tokenizer_path()), "tokens")
     sums = stage(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "sums")
-    totals_by = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("tokens")).collect()}  # at most QUEUES rows
-    names = sorted(totals_by)
-    totals = np.array([totals_by[q] for q in names], dtype=np.int64)
-    place = {q: i for i, q in enumerate(names)}
-    block = width * windows
-    whole = int(totals.sum())
+    block, whole = width * windows, sums.agg(F.sum("tokens")).first()[0] or 0
 
     # The start of each part in its queue, then of each document.
-    before = sums.select("queue", "part", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("before"))
-    placed = tokens.join(before, ["queue", "part"]).select("doc_id", "queue", "n", "ids", (F.col("before") + F.col("within")).alias("at"))
+    queue = Window.partitionBy("queue")
+    before = sums.select("queue", "part", (F.sum("tokens").over(queue.orderBy("part")) - F.col("tokens")).alias("before"), F.sum("tokens").over(queue).alias("total"))
+    placed = tokens.join(before, ["queue", "part"]).select("doc_id", "queue", "total", "n", "ids", (F.col("before") + F.col("within")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts each document where a block ends in its queue."""
-        known: dict[int, list[int]] = {}
-
-        def ends(b: int) -> list[int]:
-            if b not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[b] = used(totals, min(whole, (b + 1) * block)).tolist()
-            return known[b]
-
-        each = (totals.astype(object) * block).tolist()
+        names = ("block", "doc_id", "queue", "total", "at", "start", "n", "doc_tokens", "ids")
         for batch in batches:
-            rows = {k: [] for k in ("block", "doc_id", "queue", "at", "start", "n", "doc_tokens", "ids")}
-            for d, q, n, ids, a in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "n", "ids", "at")), strict=True):
-                i, start = place[q], 0
+            rows = {k: [] for k in names}
+            for d, q, t, n, ids, a in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "total", "n", "ids", "at")), strict=True):
+                phase, start = q % whole, 0
                 while start < n:
-                    b = max(0, (a + start) * whole // each[i] - 1)  # near the block; the sum decides
-                    while (b + 1) * block < whole and ends(b)[i] <= a + start:
-                        b += 1
-                    end = min(n, ends(b)[i] - a)
-                    for k, v in zip(rows, (b, d, i, a + start, start, end - start, n, ids[2 * start : 2 * end]), strict=True):
+                    b = max(0, -(((a + start + 1) * whole - phase) // -(t * block)) - 1)  # the first one that serves this token
+                    end = min(n, (t * min(whole, (b + 1) * block) + phase) // whole - a)
+                    for k, v in zip(names, (b, d, q, t, a + start, start, end - start, n, ids[2 * start : 2 * end]), strict=True):
                         rows[k].append(v)
                     start = end
-            types = {"ids": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in rows.items()], names=list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()], names=list(names))
 
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
-        b = int(key[0].as_py())
-        first, last = used(totals, b * block), used(totals, min(whole, (b + 1) * block))
-        t = table.sort_by([("queue", "ascending"), ("at", "ascending")]).to_pydict()
+    def fill(key: tuple, table: pa.Table, begins: pa.Table) -> pa.Table:
         out = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
-        nexts, ends = np.searchsorted(t["queue"], np.arange(len(totals))), np.searchsorted(t["queue"], np.arange(len(totals)), side="right")
-        inside = np.zeros(len(totals), dtype=np.int64)
-        for w, serve in enumerate(quotas(last - first, width)):
-            offset = 0
+        b, at = int(key[0].as_py()), begins.column("first").to_pylist()[0]
+        table = table.sort_by([("queue", "ascending"), ("at", "ascending")])
+        t = {c: table.column(c).to_pylist() for c in ("doc_id", "start", "n", "ids", "doc_tokens")}
+        lengths, total, served = (table.column(c).to_numpy() for c in ("n", "total", "at"))
+        _, nexts = np.unique(table.column("queue").to_numpy(), return_index=True)
+        take = np.add.reduceat(lengths, nexts) if len(nexts) else np.zeros(0, dtype=np.int64)
+        share = total[nexts] / whole
+        # What each queue was due before this block, less what it has served.
+        carried = np.array([(int(x) * b * block - int(y) * whole) / whole for x, y in zip(total[nexts], served[nexts], strict=True)])
+        inside = np.zeros(len(take), dtype=np.int64)
+        for serve in quotas(take, width, width - at % width, share, carried):
             for q in np.flatnonzero(serve):
                 need = int(serve[q])
                 while need:
-                    i = int(nexts[q])
-                    if i >= ends[q]:
-                        raise ValueError("a queue has fewer tokens than its documents")
-                    s = int(inside[q])
+                    i, s = int(nexts[q]), int(inside[q])
                     n = min(need, t["n"][i] - s)
-                    for k, v in zip(out, (t["doc_id"][i], t["start"][i] + s, n, t["ids"][i][2 * s : 2 * (s + n)], t["doc_tokens"][i], b * windows + w, offset), strict=True):
+                    for k, v in zip(out, (t["doc_id"][i], t["start"][i] + s, n, t["ids"][i][2 * s : 2 * (s + n)], t["doc_tokens"][i], at // width, at % width), strict=True):
                         out[k].append(v)
-                    offset, need = offset + n, need - n
+                    at, need = at + n, need - n
                     inside[q] += n
                     if inside[q] == t["n"][i]:
                         inside[q], nexts[q] = 0, i + 1
@@ -217,8 +202,9 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, windows:
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     if not whole:
         return spark.createDataFrame([], shape)
-    pieces = placed.mapInArrow(cut, "block long, doc_id long, queue long, at long, start long, n long, doc_tokens long, ids binary")
-    return pieces.groupBy("block").applyInArrow(fill, shape)
+    pieces = placed.mapInArrow(cut, "block long, doc_id long, queue long, total long, at long, start long, n long, doc_tokens long, ids binary")
+    begins = starts(sums.groupBy("queue").agg(F.sum("tokens").alias("total")), whole, block)
+    return pieces.groupBy("block").cogroup(begins.groupBy("block")).applyInArrow(fill, shape)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
