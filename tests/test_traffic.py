@@ -167,6 +167,57 @@ def test_files(spark, tmp_path):
         files.source("goose")
 
 
+def test_slices_give_what_whole_pairs_give(spark):
+    """A busy pair, ordered in slices of a few packets, against a loop over all of them."""
+    rng = random.Random(5)
+    rows, t = [], 0.0
+    for i in range(400):
+        t += rng.choice([0.1, 1.0, 3.0, 30.0])
+        src, dst = rng.choice([("a", "b"), ("b", "a"), ("a", "b"), ("c", "a")])
+        rows.append((7 * i + 3, t, src, dst))
+    df = spark.createDataFrame(rows, "seq long, t double, src string, dst string").repartition(3)
+    last, ranks, first, clock, want = {}, {}, {}, {}, {}
+    for seq, t, src, dst in rows:
+        pair, way = tuple(sorted((src, dst))), f"{src}:{dst}"
+        ranks[way] = ranks.get(way, 0) + 1
+        first.setdefault(pair, src)
+        n, end = clock.get(way, (1, 10.0))
+        clock[way] = (n + 1, end + 10.0) if t >= end else (n, end)
+        want[seq] = (first[pair] == src, round(t - last.get(pair, 0.0), 6), ranks[way], clock[way][0])
+        last[pair] = t
+    for size in (20, 1_000_000):
+        got = S.windows(S.inter_arrivals(S.pairs(df), size), 10.0, slice_rows=max(1, size // 7)).collect()
+        assert {r["seq"]: (r["canonical"], round(r["delta"], 6), r["rank"], r["n"]) for r in got} == want
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Row numbers and keys of files that are read in many splits, with both line ends."""
+    rng, want, words = random.Random(6), {}, []
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        body = [("" if i % 50 == 7 else f"Key;p{i}-q{i}-1-2;;;" if i % 90 == 0 else f"{i};0.1;0.2;2;<{i}.{rng.randrange(9)}>") for i in range(700)]
+        (tmp_path / name).write_bytes((end.join(body) + end).encode())
+        want[name] = [(i, x) for i, x in enumerate(body) if x]
+        key = None
+        for i, x in enumerate(body):
+            key = x.split(";")[1] if x.startswith("Key") else key
+            if x and not x.startswith("Key"):
+                a, b, c, d = key.split("-")
+                words.append((i, f"{a}:{c}|{b}:{d}"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        read = files.lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 3
+        got = {}
+        for r in read.orderBy("file", "row").collect():
+            got.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["row"], r["value"]))
+        assert got == want
+        conversations = files.read_conversations(spark, str(tmp_path), slice_rows=13).collect()
+        assert sorted((r["row"], r["pair"]) for r in conversations) == sorted(words)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_cells_round(spark, tmp_path):
     df = spark.createDataFrame([("0003", "k", 59.5)], "WindowLabel string, FlowKey string, ForwardMetricsDuration double")
     for c in files.FLOW_TEXT + files.FLOW_NUMBERS:

@@ -11,19 +11,36 @@ from pyspark.sql import functions as F
 
 FLOOR = 0.34  # fixed value: the least mean of a band
 SERIES = ("total", "range1", "range2")
+#: Numbers of packets that are ordered at a time.
+SLICE = 1_000_000
+
+
+def _slice(order: str, rows: int) -> Column:
+    return F.floor(F.col(order) / F.lit(rows)).cast("long").alias("_slice")
 
 
 def pairs(packets: DataFrame) -> DataFrame:
     """Packets with their unordered pair and the pair's orientation, that of its first packet."""
-    pair = F.concat_ws("|", F.least("src", "dst"), F.greatest("src", "dst"))
-    return packets.withColumn("pair", pair).withColumn("canonical", F.first("src").over(Window.partitionBy("pair").orderBy("seq")) == F.col("src"))
+    placed = packets.withColumn("pair", F.concat_ws("|", F.least("src", "dst"), F.greatest("src", "dst")))
+    first = placed.groupBy("pair").agg(F.min_by("src", "seq").alias("_first"))
+    return placed.join(first, "pair").select(*packets.columns, "pair", (F.col("_first") == F.col("src")).alias("canonical"))
+
 
+def inter_arrivals(packets: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """delta to the pair's previous packet of either direction (the first one's is its own time), the direction's key and rank.
 
-def inter_arrivals(packets: DataFrame) -> DataFrame:
-    """delta to the pair's previous packet of either direction (the first one's is its own time), the direction's key and rank."""
-    w = Window.partitionBy("pair").orderBy("seq")
-    d = Window.partitionBy("pair", "direction").orderBy("seq")
-    return packets.withColumns({"delta": F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0.0)), "direction": F.concat_ws(":", "src", "dst")}).withColumn("rank", F.row_number().over(d).cast("long"))
+    Packets are ordered in slices of slice_rows numbers; what a pair had before a slice comes from one row for each slice,
+    so no task orders all packets of a busy pair."""
+    placed = packets.select("*", F.concat_ws(":", "src", "dst").alias("direction"), _slice("seq", slice_rows))
+    each = placed.groupBy("pair", "direction", "_slice").agg(F.count("*").alias("_n"), F.max(F.struct("seq", "t")).alias("_last"))
+    earlier = Window.partitionBy("pair").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    ranked = Window.partitionBy("pair", "direction").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    before = each.select("pair", "direction", "_slice", F.max("_last").over(earlier).getField("t").alias("_t"), F.coalesce(F.sum("_n").over(ranked), F.lit(0)).alias("_before"))
+    w, d = Window.partitionBy("pair", "_slice").orderBy("seq"), Window.partitionBy("pair", "direction", "_slice").orderBy("seq")
+    inside = placed.withColumns({"_at": F.row_number().over(w), "_lag": F.lag("t").over(w), "_rank": F.row_number().over(d)})
+    previous = F.coalesce(F.when(F.col("_at") == 1, F.col("_t")).otherwise(F.col("_lag")), F.lit(0.0))
+    joined = inside.join(before, ["pair", "direction", "_slice"])
+    return joined.select(*packets.columns, (F.col("t") - previous).alias("delta"), "direction", (F.col("_rank") + F.col("_before")).cast("long").alias("rank"))
 
 
 def candidates(deltas: DataFrame) -> DataFrame:
@@ -46,13 +63,17 @@ def exploded(cands: DataFrame) -> DataFrame:
     return cands.select("direction", F.posexplode(F.array("q25", "q50", "mean", "q75")).alias("ord", "candidate")).where("candidate > 0")
 
 
-def windows(deltas: DataFrame, width: float, windowing: str = "sequential") -> DataFrame:
-    """n: the window of each packet, from 1 on."""
+def windows(deltas: DataFrame, width: float, windowing: str = "sequential", slice_rows: int = SLICE) -> DataFrame:
+    """n: the window of each packet, from 1 on. The running minimum is taken in slices of ranks and carried from slice to slice."""
     b = F.floor(F.col("t") / F.lit(width)).cast("long") + 1
     if windowing == "event_time":
         return deltas.withColumn("n", b)
-    w = Window.partitionBy("direction").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumn("n", F.col("rank") + F.least(F.lit(1).cast("long"), F.min(b - F.col("rank")).over(w)))
+    placed = deltas.select("*", (b - F.col("rank")).alias("_lead"), _slice("rank", slice_rows))
+    earlier = Window.partitionBy("direction").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy("direction", "_slice").agg(F.min("_lead").alias("_least")).select("direction", "_slice", F.min("_least").over(earlier).alias("_before"))
+    inside = placed.withColumn("_so_far", F.min("_lead").over(Window.partitionBy("direction", "_slice").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.col("rank") + F.least(F.lit(1).cast("long"), "_so_far", "_before")
+    return inside.join(carried, ["direction", "_slice"]).select(*deltas.columns, n.alias("n"))
 
 
 def counts(placed: DataFrame, split: Column, by: tuple[str, ...] = ("direction",)) -> DataFrame:

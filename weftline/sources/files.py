@@ -19,9 +19,14 @@ def _strings(columns: list[str]) -> str:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, value): rows count lines of a file from 0 on. A file is one split here, for its order has no other trace."""
-    one = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("v"))
-    return one.select("file", F.posexplode("v").alias("row", "value")).where(F.col("value") != "")
+    """(file, row, value): rows count lines of a file from 0 on. A large file is read in several splits: numbers rise within
+    a split, and the lines of the splits before it, one row for each split, make its first line's number."""
+    at = F.col("_metadata")
+    raw = spark.read.option("lineSep", "\n").text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    splits = raw.groupBy("file", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(splits.withColumn("_before", before), ["file", "_split"])
+    return placed.where(F.col("value") != "").select("file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("row"), "value")
 
 
 def read_messages_positional(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +41,18 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", ";").option("header", True).schema(_strings(MESSAGE_COLUMNS)).csv(path)
 
 
-def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+def read_conversations(spark: SparkSession, path: str, slice_rows: int = 1_000_000) -> DataFrame:
     """(pair, row, duration, length, word): `Key` rows name the pair of the rows that follow; rows without data are dropped."""
     f = F.split("value", ";")
     g = lambda i: F.get(f, F.lit(i))
     rows = lines(spark, path).select("file", "row", g(0).alias("stamp"), g(1).alias("second"), g(2).alias("duration"), g(3).alias("length"), g(4).alias("data")).where("stamp <> 'Timestamp'")
-    w = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    keyed = rows.withColumn("pair", F.last(F.when(F.col("stamp") == "Key", F.col("second")), ignorenulls=True).over(w)).where("stamp <> 'Key' and length(data) > 0")
+    # The last key before a row: in its own slice of rows, else in an earlier slice of the file.
+    key, sliced = F.when(F.col("stamp") == "Key", F.col("second")), rows.withColumn("_slice", F.floor(F.col("row") / F.lit(slice_rows)).cast("long"))
+    last = sliced.groupBy("file", "_slice").agg(F.max(F.when(key.isNotNull(), F.struct("row", "second"))).alias("_last"))
+    earlier = Window.partitionBy("file").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("file", "_slice").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    found = sliced.withColumn("_own", F.last(key, ignorenulls=True).over(w)).join(last.select("file", "_slice", F.max("_last").over(earlier).getField("second").alias("_before")), ["file", "_slice"])
+    keyed = found.withColumn("pair", F.coalesce("_own", "_before")).where("stamp <> 'Key' and length(data) > 0")
     return keyed.select(X.parse_pair("pair").alias("pair"), "row", F.col("duration").try_cast("double").alias("duration"), X.int_or_zero("length").alias("length"), X.parse_conversation("data").alias("word"))
 
 
