@@ -141,6 +141,18 @@ ORACLES: dict[str, str] = {
     "at_dense_windows": _p(", a AS (SELECT model AS pair, CAST(floor(rel_time / 7200) AS BIGINT) AS win FROM p), b AS (SELECT pair, unnest(range(0, max(win) + 1)) AS win FROM a GROUP BY pair), c AS (SELECT pair, win, count(*) AS n FROM a GROUP BY ALL) SELECT pair, win, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (pair, win)"),
     "at_smoothing_windows": _p(" SELECT model, width, CAST(floor(rel_time / width) AS BIGINT) AS win, count(*) AS n FROM p, (VALUES (CAST(86400 AS BIGINT)), (172800)) w(width) GROUP BY ALL"),
     "at_presplit_parse": _p(" SELECT seq, k || '.' || cot || ' 7.n' AS word FROM p"),
+    "at_conversations": f"""WITH RECURSIVE {_P}, m AS (SELECT seq, model AS pair, 100 + k % 30 AS asdu, (100 + k % 30) || '.' || cot AS symbol, ([3, 6, 7, 10, 13, 20, 44, 5])[cot + 1] AS c FROM p WHERE k % 10 <> 9),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY seq) AS r FROM m WHERE c <> 3),
+walk AS (SELECT pair, r, seq, symbol, c, seq AS first_seq, CASE WHEN asdu = 122 THEN 'FILETRANSFER' WHEN c = 6 THEN 'GENERAL_ACT' WHEN c = 7 THEN 'GENERAL' ELSE 'UNKNOWN' END AS kind,
+  false AS passed, asdu = 122 OR c NOT IN (10, 44, 45, 46, 47) AS open FROM o WHERE r = 1
+ UNION ALL SELECT pair, r, seq, symbol, c, CASE WHEN stays THEN first_seq ELSE seq END, kind, stays AND passed, kind = 'FILETRANSFER' OR c NOT IN (10, 44, 45, 46, 47) FROM
+  (SELECT * EXCLUDE (kind), CASE WHEN stays THEN kind WHEN asdu = 122 THEN 'FILETRANSFER' WHEN c = 6 THEN 'GENERAL_ACT' WHEN c = 7 THEN 'GENERAL' ELSE 'UNKNOWN' END AS kind FROM
+   (SELECT * REPLACE (passed OR middle AS passed), open AND (middle OR NOT (passed OR middle)) AS stays FROM
+    (SELECT o.pair, o.r, o.seq, o.symbol, o.asdu, o.c, w.first_seq, w.kind, w.passed, w.open,
+      w.open AND ((w.kind = 'FILETRANSFER' AND o.asdu BETWEEN 123 AND 127) OR (w.kind = 'GENERAL' AND o.c NOT IN (6, 7)) OR (w.kind = 'GENERAL_ACT' AND o.c <> 6)) AS middle
+     FROM walk w JOIN o ON o.pair = w.pair AND o.r = w.r + 1)))),
+word AS (SELECT pair, first_seq, kind, string_agg(symbol, ',' ORDER BY seq) AS word FROM walk GROUP BY ALL)
+SELECT pair, 'c' || first_seq AS conv, first_seq, kind, word FROM word UNION ALL SELECT pair, 's' || seq, seq, 'SPONTANEOUS', symbol FROM m WHERE c = 3""",
     "at_message_classes": _p(", a AS (SELECT 100 + k % 30 AS asdu, ([3, 6, 7, 10, 13, 20, 44, 5])[cot + 1] AS c FROM p WHERE k % 10 <> 9), b AS (SELECT *, CASE WHEN asdu = 122 THEN 'FILETRANSFER' WHEN c = 6 THEN 'GENERAL_ACT' WHEN c = 3 THEN 'SPONTANEOUS' WHEN c = 7 THEN 'GENERAL' ELSE 'UNKNOWN' END AS kind FROM a) SELECT kind, c = 3 AS spontaneous, kind IN ('GENERAL', 'GENERAL_ACT', 'UNKNOWN') AND c IN (10, 44, 45, 46, 47) AS final, asdu IN (123, 124, 70, 36) OR c IN (3, 10, 44, 45, 46, 47) AS complete, count(*) AS n FROM b GROUP BY ALL"),
     "at_pta_prefix_counts": _p(_WORDS + _TREE + " SELECT model, prefix, CAST(depth AS INT) AS depth, n FROM pre"),
     "at_pta_transitions": _p(_WORDS + _TREE + " SELECT a.model, a.src, a.symbol, a.prefix AS dst, a.n, round(a.n / CAST(b.n AS DOUBLE), 6) AS p FROM pre a JOIN pre b ON a.model = b.model AND a.src = b.prefix AND a.depth = b.depth + 1"),
