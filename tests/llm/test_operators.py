@@ -110,6 +110,31 @@ def test_split_shards_give_the_same(docs, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.dedup(docs).collect())) == whole
 
 
+def test_texts_beyond_a_kernel_slice(spark):
+    """Texts longer than what a numpy kernel works on at a time, against plain versions of the contracts."""
+    rng = random.Random(8)
+    body, passage = prose(rng, 170_000), prose(rng, 70)
+    half = len(body) // 2
+    texts = [body[:half] + " " + passage + " " + body[half:], "short words " + passage + " end", None, body[half - 40 : half + 40]]
+    assert len(texts[0]) > 1 << 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup(rows).collect()}
+    for d, b in enumerate(raw):
+        gone = np.zeros(len(b) + 1, dtype=bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        kept = bytes(np.frombuffer(b, dtype=np.uint8)[~gone[:-1]])
+        edges = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0])
+        r = got[d]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == (len(b), int(gone.sum()), edges, kept)
+    assert got[1]["n_removed"] > 0
+    sizes = {r["doc_id"]: r["n_shingles"] for r in minhash.near_duplicates(rows).collect()}
+    assert sizes == {d: len(shingles(t)) for d, t in enumerate(texts)}
+
+
 def test_quality_counts(docs, empty):
     want = []
     for d, t, *_ in corpus():

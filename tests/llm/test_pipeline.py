@@ -106,6 +106,19 @@ def test_every_token_is_packed(spark, kept):
     assert corpus_pipeline.run(spark, SF).count() == pieces.count()
 
 
+def test_empty_tables(spark, tmp_path):
+    """Without documents, or with nothing but null and empty texts, every stage gives a result of the same columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (7, "", "en", "s", 0), (8, None, None, "s", None)], docs.schema)
+    for name, step in corpus_pipeline.STAGES:
+        done = step(spark, odd, str(tmp_path))
+        assert done.count() == (0 if name == "language_id" else 4)
+        assert name == "packing" or done.columns == docs.columns
+
+
 def test_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(ORACLES) <= set(QUERIES)
