@@ -88,6 +88,22 @@ def language_rows(seed, n):
     return [["a"] * rng.randrange(1, 4) + (["b"] if rng.random() < 0.5 else []) for _ in range(n)]
 
 
+def test_conversations_across_slices(spark):
+    """Slices of any size give the same conversations as a whole pair does."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a|b", "a|c"]), rng.choice([100, 122, 123, 124, 125]), rng.choice([3, 5, 6, 6, 7, 7, 10, 13, 20, 44])) for i in range(600)]
+    df = spark.createDataFrame([(*r, f"{r[2]}.{r[3]}") for r in rows], "seq long, pair string, asdu int, cot int, symbol string").repartition(3)
+    want = {}
+    for pair in ("a|b", "a|c"):
+        mine = [r for r in rows if r[1] == pair and r[3] != 3]
+        firsts = {}
+        for (n, kind), r in zip(A.split_conversations([(r[2], r[3]) for r in mine]), mine, strict=True):
+            want.setdefault((pair, firsts.setdefault(n, r[0]), kind), []).append(f"{r[2]}.{r[3]}")
+    for size in (1, 7, 1_000_000):
+        got = A.conversations(df, slice_rows=size).where("kind <> 'SPONTANEOUS'").collect()
+        assert {(r["pair"], r["first_seq"], r["kind"]): r["word"] for r in got} == want and len(got) == len(want)
+
+
 def test_tree_telescopes():
     words = language_rows(1, 200)
     tree, _ = A.Automaton.tree(words)

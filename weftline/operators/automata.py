@@ -21,44 +21,90 @@ from weftline import functions as X
 # --- Conversations -----------------------------------------------------------------------------------------------
 
 
-def split_conversations(rows: Iterable[tuple[int, int]]) -> list[tuple[int, str]]:
-    """Conversation number and kind of each (asdu, cot) of a pair's messages, none of them spontaneous, in order."""
-    out, number, kind, passed, open_ = [], -1, "", False, False
+KINDS = ("FILETRANSFER", "GENERAL", "GENERAL_ACT", "UNKNOWN")
+#: States between two messages: 0 if no conversation is open, else 1 + 2 * kind + whether a middle message has passed.
+STATES = 1 + 2 * len(KINDS)
+#: Numbers of messages that one task takes at a time.
+SLICE = 1_000_000
+
+
+def advance(state: int, asdu: int, cot: int) -> tuple[int, int, bool]:
+    """(state after a message that isn't spontaneous, number of its conversation's kind, whether it begins one)."""
+    if state:
+        k, passed = divmod(state - 1, 2)
+        kind = KINDS[k]
+        middle = (kind == "FILETRANSFER" and 123 <= asdu <= 127) or (kind == "GENERAL" and cot not in (6, 7)) or (kind == "GENERAL_ACT" and cot != 6)
+        begins = not middle and bool(passed)
+        passed = passed or middle
+    if not state or begins:
+        k, passed, begins = KINDS.index("FILETRANSFER" if asdu == 122 else {6: "GENERAL_ACT", 7: "GENERAL"}.get(cot, "UNKNOWN")), False, True
+    closes = KINDS[k] != "FILETRANSFER" and cot in (10, 44, 45, 46, 47)
+    return 0 if closes else 1 + 2 * k + int(passed), k, begins
+
+
+def split_conversations(rows: Iterable[tuple[int, int]], state: int = 0) -> list[tuple[int, str]]:
+    """Conversation number and kind of each (asdu, cot) of a pair's messages, none of them spontaneous, in order; one that is open at the start is number 0."""
+    out, number = [], 0 if state else -1
     for asdu, cot in rows:
-        if open_:
-            middle = (kind == "FILETRANSFER" and 123 <= asdu <= 127) or (kind == "GENERAL" and cot not in (6, 7)) or (kind == "GENERAL_ACT" and cot != 6)
-            passed |= middle
-            open_ = middle or not passed
-        if not open_:
-            number, passed, open_ = number + 1, False, True
-            kind = "FILETRANSFER" if asdu == 122 else {6: "GENERAL_ACT", 7: "GENERAL"}.get(cot, "UNKNOWN")
-        out.append((number, kind))
-        if kind != "FILETRANSFER" and cot in (10, 44, 45, 46, 47):
-            open_ = False
+        state, k, begins = advance(state, asdu, cot)
+        number += begins
+        out.append((number, KINDS[k]))
     return out
 
 
-def conversations(messages: DataFrame, by: Sequence[str] = ("pair",), symbol: str = "symbol") -> DataFrame:
+def ends_of_slice(rows: Iterable[tuple[int, int, int]]) -> tuple[list[int], list[int | None]]:
+    """For each state at the start of the messages (seq, asdu, cot): the state at their end, and the seq at which the last conversation begins, if one does."""
+    at, last = list(range(STATES)), [None] * STATES
+    for seq, asdu, cot in rows:
+        after = {x: advance(x, asdu, cot) for x in set(at)}
+        last = [seq if after[x][2] else y for x, y in zip(at, last, strict=True)]
+        at = [after[x][0] for x in at]
+    return at, last
+
+
+def conversations(messages: DataFrame, by: Sequence[str] = ("pair",), symbol: str = "symbol", slice_rows: int = SLICE) -> DataFrame:
     """(by..., conv, first_seq, kind, word): I-frames of a pair (and window) as conversations.
 
     A spontaneous message is a conversation of its own; the others go through a state machine whose state depends on all
-    messages before, one group at a time."""
+    messages before. It has few states, so a slice of a group's messages is first reduced to what it does to each of them;
+    these rows, one a slice, are followed in order, and then each slice is cut from the state in which it begins. No task
+    takes all messages of a busy group."""
     by = list(by)
     own = messages.where(X.is_spontaneous("cot")).select(*by, F.concat(F.lit("s"), F.col("seq").cast("string")).alias("conv"), F.col("seq").alias("first_seq"), F.lit("SPONTANEOUS").alias("kind"), F.array(F.col(symbol)).alias("word"))
+    types = {f.name: f.dataType.simpleString() for f in messages.schema}
+    group, names = [*by, "_slice"], "".join(f"{c} {types[c]}, " for c in by) + "_slice long"
+    place = F.floor(F.col("seq") / F.lit(slice_rows)).cast("long").alias("_slice")
+    rest = messages.where(~X.is_spontaneous("cot")).select(*by, place, "seq", F.col("asdu").cast("int").alias("asdu"), F.col("cot").cast("int").alias("cot"), F.col(symbol).alias("_symbol"))
 
-    def cut(table: pd.DataFrame) -> pd.DataFrame:
+    def reduced(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("seq")
-        table["c"], table["kind"] = zip(*split_conversations(zip(table["asdu"], table["cot"], strict=True)), strict=True)
+        ends, begins = ends_of_slice(zip(table["seq"], table["asdu"], table["cot"], strict=True))
+        return table[group].head(1).assign(ends=[ends], begins=[begins])
+
+    def followed(table: pd.DataFrame) -> pd.DataFrame:
+        table, state, first, states, firsts = table.sort_values("_slice"), 0, None, [], []
+        for ends, begins in zip(table["ends"], table["begins"], strict=True):
+            states.append(state)
+            firsts.append(first)
+            state, first = int(ends[state]), first if pd.isna(begins[state]) else int(begins[state])
+        return table[group].assign(state=states, first=pd.array(firsts, dtype="Int64"))
+
+    def cut(table: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        table, state = table.sort_values("seq"), int(start["state"].iloc[0])
+        table["c"], table["kind"] = zip(*split_conversations(zip(table["asdu"], table["cot"], strict=True), state), strict=True)
         g = table.groupby("c", sort=True)
-        done = g[by].first()
-        done["first_seq"], done["kind"], done["word"] = g["seq"].first(), g["kind"].first(), g[symbol].agg(list)
-        done["conv"] = "c" + done["first_seq"].astype(str)
-        return done[[*by, "conv", "first_seq", "kind", "word"]]
-
-    types = {f.name: f.dataType.simpleString() for f in messages.schema}
-    rest = messages.where(~X.is_spontaneous("cot")).select(*by, "seq", F.col("asdu").cast("int").alias("asdu"), F.col("cot").cast("int").alias("cot"), symbol)
-    shape = ", ".join([*(f"{c} {types[c]}" for c in by), "conv string, first_seq long, kind string, word array<string>"])
-    return own.unionByName(rest.groupBy(*by).applyInPandas(cut, shape))
+        done = g[group].first()
+        done["first_seq"], done["kind"], done["word"] = g["seq"].first(), g["kind"].first(), g["_symbol"].agg(list)
+        if state and 0 in done.index:
+            done.loc[0, "first_seq"] = int(start["first"].iloc[0])
+        return done[[*group, "first_seq", "kind", "word"]]
+
+    slices = rest.select(*by, "_slice", "seq", "asdu", "cot").groupBy(*group).applyInPandas(reduced, f"{names}, ends array<int>, begins array<long>")
+    starts = slices.groupBy(*by).applyInPandas(followed, f"{names}, state int, first long")
+    parts = rest.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(cut, f"{names}, first_seq long, kind string, word array<string>")
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_slice", "word"))), lambda x: x["word"]))
+    found = parts.groupBy(*by, "first_seq", "kind").agg(joined.alias("word"))
+    return own.unionByName(found.select(*by, F.concat(F.lit("c"), F.col("first_seq").cast("string")).alias("conv"), "first_seq", "kind", "word"))
 
 
 def dense_windows(rel: Column, width: float) -> Column:
