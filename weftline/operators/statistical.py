@@ -13,6 +13,8 @@ FLOOR = 0.34  # fixed value: the least mean of a band
 SERIES = ("total", "range1", "range2")
 #: Numbers of packets that are ordered at a time.
 SLICE = 1_000_000
+#: Sums of counts and of their squares are whole and exact.
+_WHOLE = "decimal(18,0)"
 
 
 def _slice(order: str, rows: int) -> Column:
@@ -83,11 +85,29 @@ def counts(placed: DataFrame, split: Column, by: tuple[str, ...] = ("direction",
     return spine.join(found, [*by, "n"], "left").select(*by, "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in SERIES))
 
 
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """Deviation of a sample of n whole numbers from their sum and sum of squares, both exact: the same in any order of rows; null for one."""
+    n = n.cast(_WHOLE)
+    return F.when(n > 1, F.sqrt((n * squares - total * total).cast("double") / (n * (n - 1)).cast("double")))
+
+
 def candidate_stats(deltas: DataFrame, cands: DataFrame, width: float, windowing: str = "sequential") -> DataFrame:
-    """Mean and deviation of both ranges' counts for every candidate."""
-    each = windows(deltas, width, windowing).join(exploded(cands), "direction")
-    c = counts(each, F.col("candidate"), ("direction", "ord", "candidate"))
-    return c.groupBy("direction", "ord", "candidate").agg(*(f(s).alias(f"{k}_{s}") for s in SERIES[1:] for k, f in (("mean", F.avg), ("std", F.stddev_samp))))
+    """Mean and deviation of both ranges' counts for every candidate, over its windows but the last one; those without packets count 0.
+
+    A candidate is known by direction and ord: its value, a mean of doubles, may differ in its last bit each time it is computed, so it is no key."""
+    each = windows(deltas, width, windowing).where("n >= 1").join(exploded(cands), "direction")
+    ranges = F.count_if(F.col("delta") < F.col("candidate")).alias("range1"), F.count_if(F.col("delta") >= F.col("candidate")).alias("range2")
+    found = each.groupBy("direction", "ord", "n").agg(F.first("candidate").alias("candidate"), *ranges)
+    x = {s: F.col(s).cast(_WHOLE) for s in SERIES[1:]}
+    sums = found.groupBy("direction", "ord").agg(
+        F.first("candidate").alias("candidate"), F.max("n").alias("top"), F.max_by(F.struct(*(v.alias(s) for s, v in x.items())), "n").alias("last"),
+        *(F.sum(v).cast(_WHOLE).alias(f"sum_{s}") for s, v in x.items()), *(F.sum(v * v).alias(f"squares_{s}") for s, v in x.items()),
+    ).where("top > 1")
+    n, last = F.col("top") - 1, lambda s: F.col(f"last.{s}")
+    total = {s: F.col(f"sum_{s}") - last(s) for s in x}
+    return sums.select("direction", "ord", "candidate", *(c for s in x for c in (
+        (total[s].cast("double") / n).alias(f"mean_{s}"), _spread(n, total[s], F.col(f"squares_{s}") - last(s) * last(s)).alias(f"std_{s}")
+    )))
 
 
 def split_points(stats: DataFrame) -> DataFrame:
