@@ -302,3 +302,18 @@ def test_candidate_statistics_do_not_hang_on_a_mean_s_last_bit(spark):
         x = [b[n] for n in range(1, 6)]
         assert got[i]["mean_range1"] == np.mean(x) and got[i]["std_range1"] == pytest.approx(np.std(x, ddof=1), abs=1e-12)
         assert got[i]["mean_range2"] == 10 - np.mean(x) and got[i]["std_range2"] == pytest.approx(np.std(x, ddof=1), abs=1e-12)
+
+
+def test_counts_on_the_edge_of_a_band_are_inside_in_any_order(spark):
+    """1, 1, 1, 2, 3, 3, 3 has mean 2 and deviation 1: the band of one deviation is 1 to 3, whatever order the windows come in."""
+    rng = random.Random(5)
+    rows = []
+    for d in range(60):
+        x = [1, 1, 1, 2, 3, 3, 3]
+        rng.shuffle(x)
+        rows += [(f"d{d}", n + 1, c, 7 * c, c) for n, c in enumerate(x)]
+    rng.shuffle(rows)
+    counts = spark.createDataFrame(rows, "direction string, n long, total long, range1 long, range2 long").repartition(9)
+    p = S.profile(counts, sigma=1.0)
+    assert {(r["total_lo"], r["total_hi"], r["range1_lo"], r["range1_hi"]) for r in p.collect()} == {(1.0, 3.0, 7.0, 21.0)}
+    assert S.outliers(counts, p).count() == 0

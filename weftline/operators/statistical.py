@@ -91,6 +91,18 @@ def _spread(n: Column, total: Column, squares: Column) -> Column:
     return F.when(n > 1, F.sqrt((n * squares - total * total).cast("double") / (n * (n - 1)).cast("double")))
 
 
+def _moments(c: str) -> tuple[Column, Column]:
+    """Mean and deviation of a column of whole numbers."""
+    x = F.col(c).cast(_WHOLE)
+    return F.avg(c), _spread(F.count(c), F.sum(x).cast(_WHOLE), F.sum(x * x))
+
+
+def _edge(middle: Column, spread: Column, times: float) -> Column:
+    """middle + times * spread; where that is a whole number but for rounding, the number itself, so that a count on the edge is inside."""
+    e = middle + F.lit(times) * spread
+    return F.when(F.abs(e - F.round(e)) <= 1e-14 * (middle + abs(times) * spread + 1), F.round(e)).otherwise(e)
+
+
 def candidate_stats(deltas: DataFrame, cands: DataFrame, width: float, windowing: str = "sequential") -> DataFrame:
     """Mean and deviation of both ranges' counts for every candidate, over its windows but the last one; those without packets count 0.
 
@@ -119,10 +131,12 @@ def split_points(stats: DataFrame) -> DataFrame:
 
 def profile(window_counts: DataFrame, sigma: float = 3.0, floor: float = FLOOR) -> DataFrame:
     """Bands of the three series; windows whose total is out of its own band don't count if the mean exceeds the floor."""
-    both = window_counts.join(window_counts.groupBy("direction").agg(F.avg("total").alias("m"), F.stddev_samp("total").alias("s")), "direction")
-    kept = both.where((F.col("m") <= floor) | F.col("s").isNull() | F.col("total").between(F.col("m") - sigma * F.col("s"), F.col("m") + sigma * F.col("s")))
-    stats = kept.groupBy("direction").agg(*(f(c).alias(f"{k}_{c}") for c in SERIES for k, f in (("m", F.avg), ("s", F.stddev_samp))))
-    band = lambda c, sign: F.greatest(F.col(f"m_{c}"), F.lit(floor)) + F.lit(sign * sigma) * F.col(f"s_{c}")
+    mean, std = _moments("total")
+    both = window_counts.join(window_counts.groupBy("direction").agg(mean.alias("m"), std.alias("s")), "direction")
+    own = [_edge(F.col("m"), F.col("s"), sign * sigma) for sign in (-1, 1)]
+    kept = both.where((F.col("m") <= floor) | F.col("s").isNull() | F.col("total").between(*own))
+    stats = kept.groupBy("direction").agg(*(f.alias(f"{k}_{c}") for c in SERIES for k, f in zip("ms", _moments(c), strict=True)))
+    band = lambda c, sign: _edge(F.greatest(F.col(f"m_{c}"), F.lit(floor)), F.col(f"s_{c}"), sign * sigma)
     return stats.select("direction", *(band(c, s).alias(f"{c}_{e}") for c in SERIES for s, e in ((-1, "lo"), (1, "hi"))), F.when(F.col("s_total").isNull(), "insufficient").otherwise("ok").alias("status"))
 
 
