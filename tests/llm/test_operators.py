@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import cotraining, decontaminate, language, language_model, licences, line_dedup, minhash, packing, quality_rules, suffix_dedup
+from weftline.llm import common, cotraining, decontaminate, language, language_model, licences, line_dedup, minhash, packing, quality_rules, suffix_dedup
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, rep long, anchor string, y int"
 
@@ -521,3 +522,21 @@ def test_surest_are_those_of_a_plain_sort(spark):
         mine = sorted((r["doubt"], r["doc_id"], r["x"]) for r in found if r["to"] == to and r["value"] == value)[:n]
         assert [(round(d, 6), i) for d, i, _ in mine] == [(round(d, 6), i) for d, i in plain]
         assert all(b == (x if to == "content" else z)[i].tobytes() for _, i, b in mine)
+
+
+def test_workers_give_back_what_a_task_freed():
+    """Small arrays go to the heap, and one that outlives them at its end keeps it from shrinking by itself."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+    kept = []
+
+    def over(batches):
+        for batch in batches:
+            held = [np.ones(50_000, dtype=np.uint8) for _ in range(4000)]
+            kept.append(np.ones(50_000, dtype=np.uint8))
+            yield batch
+            del held
+
+    before = resident()
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    assert list(common.lean(over)(iter([batch, batch]))) == [batch, batch]
+    assert resident() - before < 60

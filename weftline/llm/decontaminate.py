@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import held, tune
+from weftline.llm.common import held, lean, tune
 
 BUDGET = 0.05
 BLOCK_CHARS = 4_000_000
@@ -72,7 +72,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     tune(spark)
     rows = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     shape = "doc_id long, item_id long, distance int, budget int"
-    found = [rows.mapInArrow(_matches(block, budget), shape) for block in blocks(items, item_id, item_text)]
+    found = [rows.mapInArrow(lean(_matches(block, budget)), shape) for block in blocks(items, item_id, item_text)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape)
 
 
@@ -156,7 +156,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     tune(docs.sparkSession)
     rows = held(docs, text=F.col(text).cast("string"))
     for block in blocks(items, item_id, item_text):
-        rows = rows.mapInArrow(_clean(block, budget), rows.schema)
+        rows = rows.mapInArrow(lean(_clean(block, budget)), rows.schema)
     return rows.select("row.*")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.llm.common import held, tune
+from weftline.llm.common import held, lean, tune
 
 #: Documents of each language that a model is fitted on, at most about this many.
 SAMPLE_ROWS = 3000
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     part = F.lit(False)
     for name, n in sizes.items():
         part = part | ((F.col(lang) == name) & (F.pmod(F.xxhash64(doc_id), F.lit(n)) < rows))
-    tally = usable.where(part).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_tally, "lang string, item string, n long")
+    tally = usable.where(part).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(lean(_tally), "lang string, item string, n long")
     known = tally.groupBy("item", "lang").agg(F.sum("n").alias("n")).groupBy("item").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n")).where(f"n >= {KNOWN}")
     languages = sorted(sizes)
     place = {x: i for i, x in enumerate(languages)}
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
             found = [m.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(over, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(over), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
@@ -163,7 +163,7 @@ def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") ->
             yield batch.select(["row"]).filter(pa.array([g != "und" and p >= least for g, p in found], pa.bool_()))
 
     rows = held(docs, text=F.col(text).cast("string"))
-    return rows.mapInArrow(over, StructType([rows.schema["row"]])).select("row.*")
+    return rows.mapInArrow(lean(over), StructType([rows.schema["row"]])).select("row.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:

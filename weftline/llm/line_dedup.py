@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from weftline.llm.common import held, stage, tune, unused
+from weftline.llm.common import held, lean, stage, tune, unused
 
 #: Lines, or words in fewer lines, that make a repeated run.
 RUN, LONG = 3, 50
@@ -117,7 +117,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def later_runs(rows: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """rows(id, copy, text) -> (id, copy, later): the windows (start, n), counted in keyed lines, that came before."""
-    marks = rows.where(F.length("text") > 0).select("id", "copy", "text").mapInArrow(_fingerprints(run, long), "mark long, id long, copy long, place int, reach array<struct<start: int, n: int, run: binary>>")
+    marks = rows.where(F.length("text") > 0).select("id", "copy", "text").mapInArrow(lean(_fingerprints(run, long)), "mark long, id long, copy long, place int, reach array<struct<start: int, n: int, run: binary>>")
     marks = stage(marks, "fingerprints")
     # Written before they are joined: both sides are then plain shuffles, so that a hot key's side can be split.
     twice = stage(marks.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark"), "twice")
@@ -135,5 +135,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run
     rows = held(docs, id=F.coalesce(F.col(doc_id).cast("long"), last), copy=F.xxhash64(F.col(text).cast("string")), text=F.col(text).cast("string"))
     later = stage(later_runs(rows, run, long), "later")
     cleaned = rows.join(later.hint("shuffle_hash"), ["id", "copy"], "left").select("row", "text", "later")
-    done = cleaned.mapInArrow(_without, StructType([rows.schema["row"], StructField("kept", StringType()), StructField("removed", LongType())]))
+    done = cleaned.mapInArrow(lean(_without), StructType([rows.schema["row"], StructField("kept", StringType()), StructField("removed", LongType())]))
     return done.select(*(F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns), F.col("removed").alias(unused("_removed", docs.columns)))

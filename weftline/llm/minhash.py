@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import encoded, held, shingle_sets, sliced, stage, tune
+from weftline.llm.common import encoded, held, lean, shingle_sets, sliced, stage, tune
 
 ROWS, BANDS = 4, 28
 #: Documents of a block in which sets are compared.
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     tune(spark)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stage(rows.mapInArrow(_signed(k), "doc_id long, n_shingles long, class binary, bands array<long>"), "signed")
+    signed = stage(rows.mapInArrow(lean(_signed(k)), "doc_id long, n_shingles long, class binary, bands array<long>"), "signed")
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = stage(classes, "classes")
 
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     # The sets of the classes that any pair names, once.
     named = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stage(rows.join(named.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(k), "rep long, shingles binary"), "sets")
+    sets = stage(rows.join(named.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(lean(_sets(k)), "rep long, shingles binary"), "sets")
 
     sized = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     spread = pairs.join(sized, "centre").select("rep", "centre", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))

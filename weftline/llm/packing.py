@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stage, tune
+from weftline.llm.common import lean, stage, tune
 
 WIDTH, END = 2048, 1
 #: Windows of a block.
@@ -104,7 +104,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc
 
     queue = F.xxhash64(F.col(source).cast("string"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(over, "doc_id long, queue long, part long, within long, n long, ids binary")
+    return rows.mapInArrow(lean(over), "doc_id long, queue long, part long, within long, n long, ids binary")
 
 
 def granted(order: np.ndarray, most: np.ndarray, need: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, windows:
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     if not whole:
         return spark.createDataFrame([], shape)
-    pieces = placed.mapInArrow(cut, "block long, doc_id long, queue long, total long, at long, start long, n long, doc_tokens long, ids binary")
+    pieces = placed.mapInArrow(lean(cut), "block long, doc_id long, queue long, total long, at long, start long, n long, doc_tokens long, ids binary")
     begins = starts(sums.groupBy("queue").agg(F.sum("tokens").alias("total")), whole, block)
     return pieces.groupBy("block").cogroup(begins.groupBy("block")).applyInArrow(fill, shape)
 
@@ -219,4 +219,4 @@ def digests(pieces: DataFrame) -> DataFrame:
             crc = [zlib.crc32(wide[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length")), pa.array(crc, pa.int64()), *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(over, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.mapInArrow(lean(over), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
