@@ -524,6 +524,19 @@ def test_surest_are_those_of_a_plain_sort(spark):
         assert all(b == (x if to == "content" else z)[i].tobytes() for _, i, b in mine)
 
 
+def test_sums_of_groups():
+    """Groups of one row and of hundreds, in any order, against numpy's own sums."""
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([np.repeat(np.arange(40), np.arange(1, 41) ** 2 % 90 + 1), [77]])
+    rng.shuffle(tokens)
+    rows = rng.integers(-9, 9, (len(tokens), 6)).astype(np.float32)
+    by = np.argsort(tokens, kind="stable")
+    firsts = np.concatenate([[0], np.flatnonzero(np.diff(tokens[by])) + 1])
+    for n in (len(by), 1):
+        f = firsts[firsts < n]
+        assert (language_model._group_sums(rows, by[:n], f) == np.add.reduceat(rows[by[:n]], f)).all()
+
+
 def test_workers_give_back_what_a_task_freed():
     """Small arrays go to the heap, and one that outlives them at its end keeps it from shrinking by itself."""
     resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6

@@ -40,6 +40,8 @@ ROUNDS = 1
 #: Places that one step learns from, or that are scored at a time.
 STEP = 1 << 14
 RATE = 0.15
+#: Rows from which on a group is summed by itself.
+MANY = 32
 #: Words of a chunk, about.
 CHUNK = 1 << 20
 #: Characters of text for each shard of the words.
@@ -102,6 +104,25 @@ def _descend(net: dict, name: str, at, slope: np.ndarray, rate: float) -> None:
     net[name][at] -= slope
 
 
+def _group_sums(rows: np.ndarray, by: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """np.add.reduceat(rows[by], firsts), several times faster: groups of over MANY rows one by one, of all others the first
+    rows at once, then the second ones, and so on."""
+    n = np.append(firsts[1:], len(by)) - firsts
+    rank = np.argsort(-n, kind="stable")
+    first, n = firsts[rank], n[rank]
+    large = int(np.searchsorted(-n, -MANY))
+    out = np.empty((len(firsts), rows.shape[1]), dtype=rows.dtype)
+    for i in range(large):
+        out[rank[i]] = np.take(rows, by[first[i] : first[i] + n[i]], axis=0).sum(0)
+    first, n = first[large:], n[large:]
+    total = np.take(rows, by[first], axis=0)
+    for j in range(1, int(n[0]) if len(n) else 0):
+        k = int(np.searchsorted(-n, -j))  # groups of more than j rows
+        total[:k] += np.take(rows, by[first[:k] + j], axis=0)
+    out[rank[large:]] = total
+    return out
+
+
 def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
     """log P(token | both sides) at each place of a part of a stream, without its first and last RADIUS tokens and its gaps;
     with a rate, one step of gradient descent too. Places are taken class by class.
@@ -152,7 +173,7 @@ def log_chances(net: dict, part: np.ndarray, rate: float = 0.0) -> np.ndarray:
         by = np.argsort(part, kind="stable")
         sorted_ = part[by]
         firsts = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
-        _descend(net, "table", sorted_[firsts], np.add.reduceat(np.take(beside, by, axis=0), firsts), rate)
+        _descend(net, "table", sorted_[firsts], _group_sums(beside, by, firsts), rate)
     places = np.empty(len(inner), dtype=np.float32)
     places[at] = out
     return places[inner != PAD]
