@@ -537,6 +537,19 @@ def test_sums_of_groups():
         assert (language_model._group_sums(rows, by[:n], f) == np.add.reduceat(rows[by[:n]], f)).all()
 
 
+def test_ranks_tell_exactly_the_first_200_bytes():
+    """Windows that agree in 128 bytes, in 199 and in 200; zero bytes and the end of the data."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, 260, dtype=np.uint8)
+    other = [np.concatenate([base[:n], base[n:] ^ 1]) for n in (128, 199, 200, 201)]
+    for data in (np.concatenate([base, *other, np.zeros(207, dtype=np.uint8)]), rng.integers(0, 2, 900, dtype=np.uint8) // 2):
+        order, rank = suffix_dedup.suffix_array(data, 200)
+        windows = [data[i : i + 200].tobytes() for i in range(len(data) - 199)]
+        assert sorted(order.tolist()) == list(range(len(data)))
+        assert [windows[i] for i in order if i < len(windows)] == sorted(windows)
+        assert len(set(zip(rank.tolist(), windows, strict=False))) == len(set(windows)) == len(set(rank[: len(windows)].tolist()))
+
+
 def test_workers_give_back_what_a_task_freed():
     """Small arrays go to the heap, and one that outlives them at its end keeps it from shrinking by itself."""
     resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6

@@ -5,8 +5,8 @@
 2. Each repeated string goes on as a segment, the windows that picked it. Equal segments are counted, not copied.
    Segments of a string share a shard, so equal windows do too, except where a string has so many segments that its
    shard is split.
-3. A shard sorts its suffixes by Larsson-Sadakane doubling and finds common prefixes by Kasai's algorithm, run in
-   lockstep over the segments; windows with a common prefix of LENGTH bytes, or in a segment counted twice, repeat.
+3. A shard sorts its suffixes by Larsson-Sadakane refinement to a depth of LENGTH bytes exactly: windows that are equal
+   get one rank, so no common prefixes are measured; those of a rank that comes twice, or in a segment counted twice, repeat.
 4. Windows that a split shard leaves alone, and one of each kind that it knows, are merged across its parts: sorted
    window fingerprints of 128 bits, looked up in the other parts by binary search.
 
@@ -65,7 +65,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in the order of their first `depth` bytes or more, ranks at depth 128), by Larsson-Sadakane refinement."""
+    """(suffixes in the order of their first `depth` bytes, ranks), by Larsson-Sadakane refinement: suffixes of `depth` bytes
+    or more have equal ranks where these bytes are equal. The last round adds only what is missing to `depth`, 8 at least."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
@@ -82,66 +83,23 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
     slots = np.arange(n)
     number(slots, same)
-    h, at_128 = 8, rank
+    h = 8
     while h < depth:
+        more = min(h, depth - h)
         r = rank[order]
         again = np.concatenate([[False], r[1:] == r[:-1]])
         open_ = np.flatnonzero(again | np.concatenate([again[1:], [False]]))
         if len(open_):
             s = order[open_]
-            next_ = s + h
+            next_ = s + more
             follow = np.where(next_ < n, rank[np.minimum(next_, n - 1)] + 1, 0)
             both = (rank[s].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
             turn = np.argsort(both)
             order[open_] = s[turn]
             both = both[turn]
             number(open_, np.concatenate([[False], both[1:] == both[:-1]]))
-        h *= 2
-        if h == 128:
-            at_128 = rank.copy()
-    return order, at_128
-
-
-def common_prefixes(data: np.ndarray, order: np.ndarray, r: np.ndarray, starts: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's algorithm, a step in all segments at a time: for each window start, the bytes it shares with the suffix before it in order, up to `most`.
-
-    Where the last value reached `most`, suffixes that agree for longer may stand in either order, so the next one doesn't
-    inherit; the ranks at depth 128 tell at once whether it reaches `most` too."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8 + most, dtype=np.uint8)])
-    word = np.zeros(n + most, dtype=np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : n + most + j]
-    slot = np.empty(n, dtype=np.int64)
-    slot[order] = np.arange(n)
-    out = np.zeros(n, dtype=np.int32)
-    carry = np.zeros(len(starts), dtype=np.int64)
-    live = np.arange(len(starts))
-    for j in range(int(windows.max()) if len(windows) else 0):
-        live = live[windows[live] > j]
-        i = starts[live] + j
-        before = order[np.maximum(slot[i] - 1, 0)]
-        h = np.maximum(carry[live] - 1, 0)
-        full = carry[live] >= most
-        h[full] = 0
-        far_i, far_b = np.minimum(i + most - 128, n - 1), np.minimum(before + most - 128, n - 1)
-        h[(r[i] == r[before]) & (r[far_i] == r[far_b]) & (before + most <= n)] = most
-        h[slot[i] == 0] = most + 1  # nothing stands before it
-        go = np.flatnonzero(h < most)
-        while len(go):
-            x = word[i[go] + h[go]] ^ word[before[go] + h[go]]
-            whole = x == 0
-            h[go[whole]] += 8
-            part = go[~whole]
-            top = x[~whole]
-            for k in range(7, 0, -1):
-                h[part] += (top >> np.uint64(8 * (8 - k)) == 0) & (k > 0)
-            go = go[whole]
-            go = go[h[go] < most]
-        h = np.where(h == most + 1, 0, np.minimum(h, most))
-        carry[live] = h
-        out[i] = h
-    return out
+        h += more
+    return order, rank
 
 
 def repeated_windows(segments: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,24 +108,11 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray) -> tuple[np.ndar
     lengths = np.array([len(s) for s in segments])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     windows = lengths - LENGTH + 1
-    order, at_128 = suffix_array(data, LENGTH)
-    shared = common_prefixes(data, order, at_128, starts, windows, LENGTH)
+    _, rank = suffix_array(data, LENGTH)
     segment = np.repeat(np.arange(len(segments)), windows)
     place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = starts[segment] + place
-    valid = np.zeros(len(data), dtype=bool)
-    valid[at] = True
-    # Windows in suffix order; a common prefix of LENGTH with a suffix that is no window runs on through it.
-    joined = shared[order] >= LENGTH
-    lead = at_128[order]
-    off = ~valid[order]
-    tail = at_128[np.minimum(order + LENGTH - 128, len(data) - 1)]
-    joined[off] = np.concatenate([[False], (lead[1:] == lead[:-1]) & (tail[1:] == tail[:-1])])[off]
-    kind_in_order = np.cumsum(~joined)
-    kind_at = np.empty(len(data), dtype=np.int64)
-    kind_at[order] = kind_in_order
-    kind = kind_at[at]
-    times = np.bincount(kind, counts[segment], minlength=int(kind_in_order[-1]) + 1)
+    kind = rank[starts[segment] + place]  # equal windows stand together in suffix order and have one rank
+    times = np.bincount(kind, counts[segment], minlength=len(data))
     return segment, place, times[kind] >= 2, kind
 
 
